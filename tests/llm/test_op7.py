@@ -37,7 +37,7 @@ def test_index_against_brute_force():
         parts = [rng.integers(1, 4, rng.integers(1, 30)) for _ in range(rng.integers(1, 12))]
         text = np.concatenate([np.append(p, 0) for p in parts])
         p = rng.integers(1, 5, (10, 20))
-        ms = RunIndex(text, 32).matching_statistics(p)
+        ms, at = RunIndex(text, 32).matching_statistics(p)
         subs = {tuple(text[i : i + n]) for i in range(text.size) for n in range(21)}
         for r in range(10):
             for c in range(20):

@@ -9,10 +9,10 @@ with one anchor forms a span.  Documents live in slices.
    that has them (equal spans are combined before anything moves).
 2. A bucket answers: a span seen in a smaller document elsewhere is a repeat whole; anchors with several
    different spans need their bytes.
-3. These spans' bytes go to the buckets.  There the spans of an anchor are ordered by document; halves,
-   quarters, ... of that order are indexed (rindex.RunIndex) and the later halves stream their matching
-   statistics through the index of the earlier ones.  A symbol after the anchor names anchor and half, so
-   matches stay inside.  Windows matched over their whole length are repeats.
+3. These spans' bytes go to the buckets.  There they are indexed (rindex.RunIndex), with a tag after the
+   anchor that keeps matches to spans of the same anchor, and streamed through the index: where the
+   matching statistics cover a window, the index row tells the smallest document that has the match, and
+   a smaller one than the span's own makes the window a repeat.
 4. The slices cut the repeats out of their texts.
 
 The texts are shuffled once; what else moves is a dozen bytes for about every fifteenth byte of text.
@@ -36,7 +36,9 @@ from .rindex import RunIndex
 
 WINDOW, GRAM = 50, 20
 #: Bytes handled at a time while hashing; bytes of spans indexed at a time; streams side by side.
-STEP, INDEXED, STREAMS = 1 << 18, 3 << 20, 16384
+STEP, INDEXED, STREAMS = 1 << 16, 1 << 20, 4096
+#: Entries judged at a time.
+ANSWERED = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _BIG = np.iinfo(np.int64).max
 _TAG, _TAGS = 257, 3  # three digits to the base 256, written as symbols from 257 on
@@ -99,7 +101,7 @@ def _spans(raw: np.ndarray, ends: np.ndarray, window: int, gram: int):
     a, z, doc = cuts[ok], stop[ok], doc[ok]
     over = z + window
     anchor = at[a]
-    h = grams[anchor] >> np.uint64(16)
+    h = _mix(grams[anchor] ^ np.uint64(_BASE)) >> np.uint64(16)  # smallest hashes are not even: mix again
     c = _mix((sums[over] - sums[a]) * down[a] + (over - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(8)
     return h, c, doc, a, z, anchor
 
@@ -188,16 +190,8 @@ def _tell(buckets, window, gram):
     return run
 
 
-def _answer(key, asked):
-    """Step 2: for each entry 1 (a repeat whole), 2 (bytes needed) or 0."""
-    slices, sizes = asked.column("slice").to_pylist(), asked.column("n").to_pylist()
-    hs, cs, ids = [], [], []
-    for n, blob in zip(sizes, asked.column("blob").to_pylist(), strict=True):
-        raw = _unzip(blob)
-        hs.append(np.cumsum(_from_planes(raw, n)))
-        cs.append(_from_planes(raw[8 * n :], n))
-        ids.append(_from_planes(raw[16 * n :], n).view(np.int64))
-    h, c, i = np.concatenate(hs), np.concatenate(cs), np.concatenate(ids)
+def _judge(h, c, i):
+    """Flags of entries (anchor, span, smallest document), all of an anchor at once."""
     order = np.lexsort((i, c, h))
     h, c, i = h[order], c[order], i[order]
     new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -210,6 +204,26 @@ def _answer(key, asked):
     differ = np.minimum.reduceat(i, starts) < np.maximum.reduceat(i, starts)
     flags = np.zeros(h.size, np.uint8)
     flags[order] = np.where(whole, 1, np.where((kinds > 1)[group] & differ[group], 2, 0))
+    return flags
+
+
+def _answer(key, asked):
+    """Step 2: for each entry 1 (a repeat whole), 2 (bytes needed) or 0."""
+    slices, sizes = asked.column("slice").to_pylist(), asked.column("n").to_pylist()
+    hs, cs, ids = [], [], []
+    for n, blob in zip(sizes, asked.column("blob").to_pylist(), strict=True):
+        raw = _unzip(blob)
+        hs.append(np.cumsum(_from_planes(raw, n)))
+        cs.append(_from_planes(raw[8 * n :], n))
+        ids.append(_from_planes(raw[16 * n :], n).view(np.int64))
+    h, c, i = np.concatenate(hs), np.concatenate(cs), np.concatenate(ids)
+    del hs, cs, ids
+    flags = np.zeros(h.size, np.uint8)
+    part = (h >> np.uint64(8)) % np.uint64(-(-h.size // ANSWERED))
+    for k in range(-(-h.size // ANSWERED)):
+        own = np.flatnonzero(part == k)
+        if own.size:
+            flags[own] = _judge(h[own], c[own], i[own])
     out, at = [], 0
     for s, n in zip(slices, sizes, strict=True):
         own = flags[at : at + n]
@@ -254,78 +268,62 @@ def repeated_windows(h, ids, sizes, anchors, text: np.ndarray, window: int, gram
     h, ids, sizes, anchors: of the spans, whose bytes follow one another in `text`.
     """
     begins = np.cumsum(sizes) - sizes
-    order = np.lexsort((ids, h))
-    new_h = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    new_id = new_h | np.concatenate([[True], ids[order][1:] != ids[order][:-1]])
-    dense = np.cumsum(new_id) - 1
-    group = np.cumsum(new_h) - 1
-    starts = np.flatnonzero(new_h)
-    rank, grp = np.empty(h.size, np.int64), np.empty(h.size, np.int64)
-    rank[order], grp[order] = dense - dense[starts][group], group
-    masks, level = np.zeros(h.size, np.uint64), 0
-    most = np.maximum.reduceat(rank[order], starts)[grp] if h.size else rank
-    while h.size and (1 << level) <= most.max():
-        part = rank >> (level + 1)
-        right = (rank >> level) & 1 == 1
-        # a left half counts only if its block has a right half
-        live = right | ((rank >> level) + 1 <= (most >> level))
-        at = np.flatnonzero(live)
-        block = np.unique(np.stack([grp[at], part[at]]), axis=1, return_inverse=True)[1].reshape(-1)
-        for lo in _batches(block, sizes[at]):
-            own, tag = at[lo], block[lo]
-            tag = tag - tag.min()
-            masks[own[right[own]]] |= _level(own, tag, right[own], begins, sizes, anchors, text, window, gram)
-        level += 1
+    masks = np.zeros(h.size, np.uint64)
+    group = np.unique(h, return_inverse=True)[1].reshape(-1)
+    for own in _batches(group, sizes):
+        masks[own] = _indexed(own, group[own] - group[own].min(), begins, ids, sizes, anchors, text, window, gram)
     return masks
 
 
-def _batches(block: np.ndarray, sizes: np.ndarray):
-    """Whole blocks, about INDEXED bytes at a time."""
-    order = np.argsort(block, kind="stable")
+def _batches(group: np.ndarray, sizes: np.ndarray):
+    """Whole groups, about INDEXED bytes at a time."""
+    order = np.argsort(group, kind="stable")
     total = np.cumsum(sizes[order])
     lo = 0
     while lo < order.size:
         hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + INDEXED, side="right"))
         hi = max(hi, lo + 1)
-        while hi < order.size and block[order[hi]] == block[order[hi - 1]]:
+        while hi < order.size and group[order[hi]] == group[order[hi - 1]]:
             hi += 1
         yield order[lo:hi]
         lo = hi
 
 
-def _level(own, tag, right, begins, sizes, anchors, text, window, gram):
-    """Window bits of the right spans that the left spans of their block hold."""
+def _indexed(own, tag, begins, ids, sizes, anchors, text, window, gram):
+    """Window bits of the spans `own`: one index over them, through which each of them is streamed."""
     if tag.max() >= 1 << (8 * _TAGS):
-        raise ValueError("more blocks than tags can name")
+        raise ValueError("more anchors than tags can name")
     width = int(sizes[own].max()) + _TAGS
-    left, queries = own[~right], own[right]
 
-    def tagged(spans, tags):
+    def tagged(at):
         """Rows of symbols, right-aligned, with the tag right after the anchor gram; -1 before them."""
+        spans, tags = own[at], tag[at]
         n = sizes[spans][:, None]
         col = np.arange(width)[None, :] - (width - n - _TAGS)
         cut = (anchors[spans] + gram)[:, None]
         source = np.where(col < cut, col, np.maximum(col - _TAGS, 0))
-        sym = text[np.clip(begins[spans][:, None] + source, 0, text.size - 1)].astype(np.int32) + 1
+        sym = text[np.clip(begins[spans][:, None] + source, 0, text.size - 1)].astype(np.int16) + 1
         digit = col - cut
-        named = _TAG + ((tags[:, None] >> (8 * np.clip(digit, 0, _TAGS - 1))) & 255)
+        named = (_TAG + ((tags[:, None] >> (8 * np.clip(digit, 0, _TAGS - 1))) & 255)).astype(np.int16)
         sym = np.where((digit >= 0) & (digit < _TAGS), named, sym)
-        return np.where(col < 0, -1, sym)
-
-    rows = np.concatenate([tagged(left[i : i + STREAMS], tag[~right][i : i + STREAMS]) for i in range(0, left.size, STREAMS)])
-    rows = np.concatenate([rows, np.zeros((rows.shape[0], 1), np.int32)], axis=1)
-    index = RunIndex(rows[rows >= 0], width + 1)
-    del rows
-    bits = np.zeros(queries.size, np.uint64)
-    for i in range(0, queries.size, STREAMS):
-        q = queries[i : i + STREAMS]
-        rows = tagged(q, tag[right][i : i + STREAMS])
-        ms = index.matching_statistics(np.where(rows < 0, 1023, rows))
-        first = width - sizes[q] - _TAGS
+        return np.where(col < 0, np.int16(-1), sym)
+
+    parts = [np.arange(i, min(i + STREAMS, own.size)) for i in range(0, own.size, STREAMS)]
+    rows = np.concatenate([np.pad(tagged(at), ((0, 0), (0, 1))) for at in parts])
+    whole = rows >= 0
+    values = np.repeat(ids[own], whole.sum(1))
+    index = RunIndex(rows[whole], width + 1, window + _TAGS, values)
+    del rows, whole, values
+    bits = np.zeros(own.size, np.uint64)
+    for at in parts:
+        rows = tagged(at)
+        size, place = index.matching_statistics(np.where(rows < 0, 1023, rows))
+        first = width - sizes[own[at]] - _TAGS
         for w in range(window - gram + 1):
-            ok = w <= sizes[q] - window
-            hit = ok & (ms[np.arange(q.size), np.minimum(first + w, width - 1)] >= window + _TAGS)
-            bits[i : i + STREAMS] |= hit.astype(np.uint64) << np.uint64(w)
+            k = np.flatnonzero(w <= sizes[own[at]] - window)
+            col = first[k] + w
+            hit = k[(size[k, col] >= window + _TAGS) & (index.least(place[k, col]) < ids[own[at[k]]])]
+            bits[at[hit]] |= np.uint64(1 << w)
     return bits
 
 

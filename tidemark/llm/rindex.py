@@ -12,33 +12,51 @@ import numpy as np
 BITS, PER_WORD = 10, 6  # symbols below 1024, six of them in a sort key
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes ordered by their first `depth` symbols at least (prefix doubling); 0 lies past the end."""
+def suffix_order(text: np.ndarray, depth: int, shared: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes ordered by their first `depth` symbols at least (prefix doubling; 0 lies past the end),
+    and where in that order a suffix differs from the one before within the first `shared` symbols."""
     n = text.size
     padded = np.concatenate([text.astype(np.uint64), np.zeros(PER_WORD, np.uint64)])
     key = np.zeros(n, np.uint64)
     for i in range(PER_WORD):
         key = (key << np.uint64(BITS)) | padded[i : i + n]
-    width = PER_WORD
+    del padded
+    width, known = PER_WORD, None
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
+        del ranked
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.cumsum(new, dtype=np.uint32)
+        if width <= shared:
+            known = (width, rank)
         if width >= depth or new.all():
-            return order
-        later = np.zeros(n, np.uint64)
-        later[: max(0, n - width)] = rank[width:]
-        key = (rank << np.uint64(32)) | later
+            break
+        key = rank.astype(np.uint64) << np.uint64(32)
+        key[: max(0, n - width)] |= rank[width:]
         width *= 2
+    if width < shared or known is None:
+        return order, new
+    width, rank = known
+    differ = np.ones(n, bool)
+    late = np.minimum(order + (shared - width), n - 1)
+    differ[1:] = (rank[order[1:]] != rank[order[:-1]]) | (rank[late[1:]] != rank[late[:-1]])
+    return order, differ
 
 
 class RunIndex:
-    def __init__(self, text: np.ndarray, depth: int):
-        """text: symbols from 1, parts separated by 0; patterns of up to `depth` symbols."""
+    def __init__(self, text: np.ndarray, depth: int, shared: int = 1, values: np.ndarray | None = None):
+        """text: symbols from 1, parts separated by 0; patterns of up to `depth` symbols.
+
+        values: one for each place; least(rows) gives the least of all places whose first `shared`
+        symbols are those of a row's.
+        """
         self.text = np.concatenate([text.astype(np.int32), np.zeros(depth + 1, np.int32)])
-        order = suffix_order(text, depth)
+        order, differ = suffix_order(text, depth, shared)
+        if values is not None:
+            self.class_starts = np.flatnonzero(differ)
+            self.class_least = np.minimum.reduceat(values[order], self.class_starts)
         bwt = text[order - 1].astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], bwt[1:] != bwt[:-1]]))
         self.starts, self.heads = starts, bwt[starts]
@@ -56,14 +74,17 @@ class RunIndex:
         self.r = r
         self.run_keys = self.heads[by_head] * r + by_head
 
-    def matching_statistics(self, patterns: np.ndarray) -> np.ndarray:
-        """For each row of patterns (right-aligned; symbols absent from the text match nothing), the
-        length of the longest match that starts at each place."""
+    def least(self, rows: np.ndarray) -> np.ndarray:
+        return self.class_least[np.searchsorted(self.class_starts, rows, side="right") - 1]
+
+    def matching_statistics(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each row of patterns (right-aligned; symbols absent from the text match nothing): the
+        length of the longest match that starts at each place, and the index row of one such match."""
         m, width = patterns.shape
         patterns = patterns.astype(np.int64)
         row, size = np.zeros(m, np.int64), np.zeros(m, np.int64)
         place = np.full(m, self.first_sample[0], np.int64)
-        out = np.zeros((m, width), np.int32)
+        out, rows = np.zeros((m, width), np.int32), np.zeros((m, width), np.int64)
         for col in range(width - 1, -1, -1):
             c = patterns[:, col]
             run = np.searchsorted(self.starts, row, side="right") - 1
@@ -96,8 +117,8 @@ class RunIndex:
             if off.size and none.any():
                 lost = off[none]
                 row[lost], place[lost], size[lost] = 0, self.first_sample[0], 0
-            out[:, col] = size
-        return out
+            out[:, col], rows[:, col] = size, row
+        return out, rows
 
     def _shared(self, place: np.ndarray, tail: np.ndarray, held: np.ndarray) -> np.ndarray:
         """Symbols that the text at `place` shares with the pattern's tail, at most `held`."""
