@@ -18,7 +18,7 @@ def library():
     return t
 
 
-ODD = ["", " ", "a", "İstanbul ΣΑΣ <|endoftext|> x", "éa don't I'LL 12345", "x" * 40_000, "<|ENDOFTEXT|> a\x1cb\x85c d", "日本語 テスト 😀!!"]
+ODD = ["", " ", "a", "wörd. naïve, x's y'. ß!! ª º µ-- ³x ÿ", "it's't ''s 1st 2.5, a.b", "İstanbul ΣΑΣ <|endoftext|> x", "éa don't I'LL 12345", "x" * 40_000, "<|ENDOFTEXT|> a\x1cb\x85c d", "日本語 テスト 😀!!"]
 
 
 @settings(max_examples=60, deadline=None)
@@ -66,6 +66,7 @@ def test_operator(spark):
         ids = t.encode(x or "", add_special_tokens=False).ids
         want.append((i if i is not None else -1, ids, t.decode(ids, skip_special_tokens=False)))
     assert got == sorted(want)
+    assert sorted(map(str, encode(docs, decoded=True).collect())) == sorted(map(str, decode(encode(docs)).collect()))
     assert encode(docs.limit(0)).count() == 0
 
 

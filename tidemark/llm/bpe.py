@@ -16,23 +16,36 @@ _UNSAFE = re.compile("[\x1c-\x1fİ̀-\U0010ffff]|<\\|")
 
 
 class _Memo(dict):
-    """word -> ids packed as little-endian uint32."""
+    """word -> ids packed as little-endian uint32; two generations of at most MAX words each."""
 
-    MAX, LONGEST = 300_000, 48
+    MAX, LONGEST = 200_000, 48
 
     def __init__(self, encode):
         super().__init__()
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, word):
-        ids = self.encode(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(word) <= self.LONGEST:
             if len(self) >= self.MAX:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
+_PUNCT = ".,;:!?)\"'-"
+
+
 class Encoder:
     """encode(text) equals Tokenizer.encode(text, add_special_tokens=False).ids."""
 
@@ -46,13 +59,28 @@ class Encoder:
             spec = json.load(f)
         norm, pre = json.dumps(spec.get("normalizer")), json.dumps(spec.get("pre_tokenizer"))
         self.by_word = "Lowercase" in norm and '"invert": true' in pre and "Metaspace" not in pre
-        self.memo = _Memo(self._whole)
+        # one pre-token per run of letters: such a word can go to the model at once
+        self.letters = _byte_letters() if self.by_word and '"ByteLevel"' in pre and "[\\\\p{L}]+" in pre else None
+        self.model = self.tok.model
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tok.get_vocab_size(True))]
+        self.memo = _Memo(self._word)
         self.decoder = spec.get("decoder")
         self._tokens = None
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        if self.letters is None:
+            return self._whole(word)
+        if word.isalpha():
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            return b"".join([self.id_bytes[t.id] for t in self.model.tokenize(shown)])
+        core = word.rstrip(_PUNCT)
+        if core != word and core.isalpha():
+            return self.memo[core] + self.memo[word[len(core) :]]
+        return self._whole(word)
+
     def packed(self, text: str | None) -> bytes:
         """The ids as little-endian uint32; null is the empty text."""
         if not text:
