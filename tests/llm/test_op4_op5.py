@@ -92,7 +92,7 @@ def test_simhash(spark):
     got = p5.near_duplicates(docs).collect()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.fp & (2**64 - 1), r.component_id) for r in got) == brute(rows)
     assert p5.near_duplicates(docs.limit(0)).count() == 0
-    stay = p5.one_of_each(docs).collect()
+    stay = p5.one_of_each(docs, p5.near_duplicates(docs)).collect()
     assert sorted(r.doc_id for r in stay) == sorted({c for _, _, c in brute(rows)})
 
 
@@ -108,3 +108,29 @@ def test_vantage_shards_lose_no_pair(spark, monkeypatch):
     want = p5.forest(fps.view(np.int64)[i], fps.view(np.int64)[j])
     got = p5.stars(p5.links(nodes)).collect()
     assert {(r.a, r.b) for r in got} == set(zip(want[0].tolist(), want[1].tolist()))
+
+
+def test_similar_texts_meet(spark):
+    from tidemark.llm import op5_similar as ps
+
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    rows, want = [], []
+    for i in range(300):
+        words = [word() for _ in range(rng.integers(60, 500))]
+        rows.append((i, " ".join(words)))
+        if i % 3 == 0:
+            edited = list(words)
+            for at in rng.choice(len(words), max(1, len(words) // 60), replace=False):
+                edited[at] = word()
+            a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (words, edited))
+            if len(a & b) >= 0.8 * len(a | b):
+                want.append(1000 + i)
+            rows.append((1000 + i, " ".join(edited)))
+    rows += [(2000, None), (2001, ""), (2002, "a b"), (2002, "a b"), (None, rows[0][1])]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, root int")
+    stay = {r.doc_id for r in p5.one_of_each(docs, ps.similar(docs)).collect()}
+    assert set(range(300)) <= stay
+    assert sum(d in stay for d in want) <= 0.05 * len(want)
+    assert {2000, 2002} <= stay and None not in stay and 2001 not in stay
+    assert ps.similar(docs.limit(0)).count() == 0

@@ -5,12 +5,16 @@ import pytest
 import corpus_pipeline
 from tidemark.llm import op4_packing, op6_quality
 
-from .test_op4_op5 import brute as same_prints
 from .test_op6_op10 import plain as plain_stats
 from .test_op7 import brute as repeats
 from .test_op8 import plain as plain_pii
 
 
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def test_pipeline_is_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(sf + "/documents.parquet")
@@ -26,15 +30,24 @@ def test_pipeline_is_brute_force(spark):
             kept[d] = t
     got = corpus_pipeline.quality_rules(spark, docs, sf)
     assert got.columns == docs.columns and {r.doc_id: r.text for r in got.collect()} == kept
-    # 2: one of each group
-    kept = {c: kept[c] for _, _, c in same_prints(list(kept.items()))}
+    # 2: one of each group: what stays is not similar to an earlier one that stays, and nothing dissimilar goes
+    slim = corpus_pipeline.simhash(spark, got, sf)
+    assert slim.columns == docs.columns
+    sets = {d: shingles(t) for d, t in kept.items()}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    stay = {r.doc_id for r in slim.collect()}
+    close = [p for p, j in alike.items() if j >= 0.8]
+    assert sum(set(p) <= stay for p in close) <= 0.1 * len(close)
+    for d in set(kept) - stay:
+        assert max((j for p, j in alike.items() if d in p), default=0) >= 0.55
+    kept = {d: t for d, t in kept.items() if d in stay}
     # 3: repeats, without parts of characters
     out = {}
     for d, n, removed, spans, raw in repeats(list(kept.items())):
         text = raw.decode("utf-8", "ignore") if removed else kept[d]
         if not removed or re.search(r"[^\x20\x09-\x0D]", text):
             out[d] = text
-    stage = corpus_pipeline.repeats(spark, corpus_pipeline.simhash(spark, got, sf), sf)
+    stage = corpus_pipeline.repeats(spark, slim, sf)
     assert stage.columns == docs.columns
     real = {r.doc_id: r for r in stage.collect()}
     assert set(real) == set(out)

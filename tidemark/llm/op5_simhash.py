@@ -177,10 +177,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(named.join(lowest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "k", "fp", "root", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents, all columns, of which one of each component stays: that of the smallest doc_id
-    (a null one only where no member has an id), of equal rows one."""
-    found = near_duplicates(docs, radius).select("doc_id", "k", "root")
+    (a null one only where no member has an id), of equal rows one.  found: (doc_id, k, root) of docs."""
     low = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), "k")).alias("low"))
     low = low.select(F.col("low.n").alias("_n"), F.col("low.d").alias("_d"), F.col("low.k").alias("_k"))
     keyed = docs.withColumns({"_n": F.col("doc_id").isNull(), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_k": F.xxhash64("text")})
