@@ -19,9 +19,9 @@ def test_factor_equals_sql(spark, name):
     db = duckdb.connect()
     for t in ("lineitem", "events", "embeddings"):
         db.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    want = db.execute(OTHERS[name][1] if name in OTHERS else check_sql(FACTORS[name]))
+    want = db.execute(OTHERS[name][1] if name in OTHERS else check_sql(FACTORS[name], **leverage.SHARED))
     names = [c[0] for c in want.description]
-    got = OTHERS[name][0](spark, SF) if name in OTHERS else run(spark, SF, FACTORS[name])
+    got = OTHERS[name][0](spark, SF) if name in OTHERS else run(spark, SF, FACTORS[name], **leverage.SHARED)
     assert sorted(got.columns) == sorted(names)
     a = sorted(tuple(r[c] for c in names) for r in got.collect())
     b = sorted(want.fetchall())

@@ -18,9 +18,9 @@ RISK_DAYS, YEAR, MOST_LEVERAGE = 250, 252, 3.0
 def scored(w: int = 250) -> str:
     """(code, ts_ms, x, z, next_return, split, i, n): scores joined with next returns, split by place."""
     nexts = "(SELECT code, ts_ms, n / close - 1e0 AS y FROM (SELECT code, ts_ms, close, lead(close) OVER (PARTITION BY code ORDER BY ts_ms) AS n FROM {bars}) WHERE close > 0 AND n > 0)"
-    return f"""(SELECT *, CASE WHEN i <= floor(n * {TRAIN}) THEN 'train' WHEN i <= floor(n * {TRAIN + VALIDATION}) THEN 'val' ELSE 'test' END AS split FROM (
+    return f"""SELECT *, CASE WHEN i <= floor(n * {TRAIN}) THEN 'train' WHEN i <= floor(n * {TRAIN + VALIDATION}) THEN 'val' ELSE 'test' END AS split FROM (
   SELECT z.code, z.ts_ms, r.r AS x, z.z, y.y AS next_return, row_number() OVER (PARTITION BY z.code ORDER BY z.ts_ms) AS i, count(*) OVER (PARTITION BY z.code) AS n
-  FROM ({gaussian_rank(w)}) z JOIN {RETURNS} r ON z.code = r.code AND z.ts_ms = r.ts_ms JOIN {nexts} y ON z.code = y.code AND z.ts_ms = y.ts_ms))"""
+  FROM ({gaussian_rank(w)}) z JOIN {RETURNS} r ON z.code = r.code AND z.ts_ms = r.ts_ms JOIN {nexts} y ON z.code = y.code AND z.ts_ms = y.ts_ms)"""
 
 
 def profile() -> str:
@@ -29,8 +29,8 @@ def profile() -> str:
     return f"""SELECT *, CASE WHEN unique_ratio < 0.15e0 OR max_freq_ratio > 0.03e0 THEN 'discrete' WHEN symmetry_score <= 0.2e0 THEN 'symmetric' ELSE 'asymmetric' END AS profile_kind FROM (
   SELECT u.code, round(u.d / u.n, 6) AS unique_ratio, round(u.m / u.n, 6) AS max_freq_ratio, round(abs((s.q90 + s.q10) / 2e0 - s.q50) / greatest(1e-12, s.q90 - s.q10), 6) AS symmetry_score,
          round(least(greatest(s.zq, 1.5e0), 6e0), 6) AS z_cap FROM (
-    SELECT code, CAST(count(*) AS DOUBLE) AS d, CAST(max(c) AS DOUBLE) AS m, CAST(sum(c) AS DOUBLE) AS n FROM (SELECT code, round(x, 6) AS x, count(*) AS c FROM {scored()} WHERE split = 'train' GROUP BY code, round(x, 6)) GROUP BY code) u
-  JOIN (SELECT code, {q(0.9)} AS q90, {q(0.1)} AS q10, {q(0.5)} AS q50, {q(0.99, "az")} AS zq FROM (SELECT *, abs(z) AS az FROM {scored()} WHERE split = 'train') GROUP BY code) s ON u.code = s.code)"""
+    SELECT code, CAST(count(*) AS DOUBLE) AS d, CAST(max(c) AS DOUBLE) AS m, CAST(sum(c) AS DOUBLE) AS n FROM (SELECT code, round(x, 6) AS x, count(*) AS c FROM {{scored}} WHERE split = 'train' GROUP BY code, round(x, 6)) GROUP BY code) u
+  JOIN (SELECT code, {q(0.9)} AS q90, {q(0.1)} AS q10, {q(0.5)} AS q50, {q(0.99, "az")} AS zq FROM (SELECT *, abs(z) AS az FROM {{scored}} WHERE split = 'train') GROUP BY code) s ON u.code = s.code)"""
 
 
 def _grid() -> str:
@@ -40,12 +40,12 @@ def _grid() -> str:
     return f"(SELECT * FROM (VALUES {rows}) AS m(kind, mode, polarity) CROSS JOIN (VALUES {thetas}) AS t(theta))"
 
 
-def signals() -> str:
-    """Raw positions of every candidate, and each candidate's risk scale from the end of train."""
+def signals(candidates: str | None = None) -> str:
+    """Raw positions of the candidates, by default of all, and each candidate's risk scale from the end of train."""
     active = "((g.mode = 'both' AND abs(s.z) > g.theta) OR (g.mode = 'pos' AND s.z > g.theta) OR (g.mode = 'neg' AND s.z < -g.theta))"
     size = f"(1e0 + least(greatest((abs(s.z) - g.theta) / (greatest(p.z_cap, g.theta + 1e-3) - g.theta), 0e0), 1e0) * {MOST_LEVERAGE - 1}e0)".replace(f"{MOST_LEVERAGE - 1}e0", "2e0")
-    return f"""(SELECT s.code, s.ts_ms, s.i, s.n, s.split, s.x, s.z, s.next_return, p.profile_kind, p.unique_ratio, p.max_freq_ratio, p.symmetry_score, p.z_cap, g.mode, g.polarity, g.theta,
-  CASE WHEN {active} THEN g.polarity * sign(s.z) * {size} ELSE 0e0 END AS b FROM {scored()} s JOIN ({profile()}) p ON s.code = p.code JOIN {_grid()} g ON g.kind = p.profile_kind)"""
+    return f"""(SELECT s.code, s.ts_ms, s.i, s.n, s.split, s.x, s.z, s.next_return, p.profile_kind, p.unique_ratio, p.max_freq_ratio, p.symmetry_score, p.z_cap, g.mode, g.polarity, g.theta, {'g.c_scale,' if candidates else ''}
+  CASE WHEN {active} THEN g.polarity * sign(s.z) * {size} ELSE 0e0 END AS b FROM {{scored}} s JOIN {{profile}} p ON s.code = p.code JOIN {candidates or _grid() + ' g ON g.kind = p.profile_kind'})"""
 
 
 def search() -> str:
@@ -67,8 +67,8 @@ def path() -> str:
     return f"""SELECT code, ts_ms, split, round(x, 6) AS factor_raw, z, mode, polarity, theta, z_cap, c_scale, round(b, 6) AS b_raw, round(l, 6) AS leverage, round(next_return, 6) AS next_return,
   round(e, 4) AS equity, round(greatest(max(e) OVER (PARTITION BY code ORDER BY ts_ms ROWS UNBOUNDED PRECEDING), 0e0) - e, 4) AS drawdown, CASE WHEN b <> 0 THEN 1 ELSE 0 END AS active, profile_kind, symmetry_score, unique_ratio, max_freq_ratio,
   round({normal_cdf("theta")}, 6) AS raw_quantile_high FROM (
-  SELECT s.*, k.c_scale, k.c_scale * s.b AS l, sum(k.c_scale * s.b * s.next_return) OVER (PARTITION BY s.code ORDER BY s.ts_ms ROWS UNBOUNDED PRECEDING) AS e
-  FROM {signals()} s JOIN ({search()}) k ON s.code = k.code AND s.mode = k.mode AND s.polarity = k.polarity AND s.theta = k.theta)"""
+  SELECT s.*, s.c_scale * s.b AS l, sum(s.c_scale * s.b * s.next_return) OVER (PARTITION BY s.code ORDER BY s.ts_ms ROWS UNBOUNDED PRECEDING) AS e
+  FROM {signals(f"({search()}) g ON g.code = s.code")} s)"""
 
 
 def segments() -> str:
@@ -76,4 +76,6 @@ def segments() -> str:
     return f"""SELECT code, split, count(*) AS n, round(sum(leverage * next_return), 4) AS gain, round(sum(next_return), 4) AS hold, round(max(drawdown), 4) AS worst FROM ({path()}) GROUP BY code, split"""
 
 
+#: Relations that the texts read more than once.
+SHARED = {"scored": scored(), "profile": profile()}
 FACTORS = {"leverage_profile": profile(), "leverage_search": search(), "leverage_path": path(), "leverage_segments": segments()}

@@ -8,6 +8,7 @@ ignores are filtered before any lag.  Every text has one sort by code, shared by
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.calendar import in_session
@@ -78,10 +79,17 @@ def volume_mgf(w: int = 256, t: float = 0.01) -> str:
 
 
 def volume_autocorr(w: int = 128, lags=(1, 2, 4, 8)) -> str:
-    cols = ", ".join(f"lag(volume, {k}) OVER (PARTITION BY code ORDER BY ts_ms) AS v{k}" for k in lags)
-    mean = " + ".join(safe_corr("volume", f"v{k}") for k in lags)
-    return f"""SELECT code, ts_ms, round(c / {len(lags)}, 6) AS volume_autocorr FROM (
-  SELECT code, ts_ms, {mean} AS c, count(v{max(lags)}) OVER w AS n FROM (SELECT code, ts_ms, volume, {cols} FROM {{bars}} WHERE volume > 0) WINDOW {rows(w)}) WHERE n = {w}"""
+    """Mean correlation of the volume with its lags, from running sums: the cost does not grow with the frame."""
+    code = "PARTITION BY code ORDER BY ts_ms"
+    far = max(lags)
+    run = ", ".join(f"sum(volume * v{k}) OVER u AS p{k}" for k in lags)
+    step = ", ".join(f"p{k} - lag(p{k}, {w}) OVER o AS xy{k}, lag(c, {k}) OVER o - lag(c, {k + w}, 0e0) OVER o AS x{k}, lag(q, {k}) OVER o - lag(q, {k + w}, 0e0) OVER o AS xx{k}" for k in lags)
+    each = " + ".join(f"(xy{k} - y * x{k} / {w}e0) / sqrt(nullif((yy - y * y / {w}e0) * (xx{k} - x{k} * x{k} / {w}e0), 0e0))" for k in lags)
+    before = ", ".join(f"lag(volume, {k}) OVER ({code}) AS v{k}" for k in lags)
+    return f"""SELECT code, ts_ms, round(({each}) / {len(lags)}, 6) AS volume_autocorr FROM (
+  SELECT code, ts_ms, n, c - lag(c, {w}) OVER o AS y, q - lag(q, {w}) OVER o AS yy, {step} FROM (
+    SELECT code, ts_ms, row_number() OVER ({code}) AS n, sum(volume) OVER u AS c, sum(volume * volume) OVER u AS q, {run} FROM (
+      SELECT code, ts_ms, volume, {before} FROM {{bars}} WHERE volume > 0) WINDOW u AS ({code} ROWS UNBOUNDED PRECEDING)) WINDOW o AS ({code})) WHERE n >= {w + far}"""
 
 
 def prob_momentum(w: int = 60, least_weight: float = 1.0, floor: float = 1e-6) -> str:
@@ -184,14 +192,23 @@ def _tokens(sql: str, dialect: str) -> str:
     return sql.replace("{list}", own["list"]).replace("{div}", own["div"])
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Evaluate a factor text over the views of a directory."""
+def run(spark: SparkSession, sf_dir: str, sql: str, **shared: str) -> DataFrame:
+    """Evaluate a factor text over the views of a directory.
+
+    shared: texts of relations that the factor reads several times; each is evaluated once and kept.
+    """
     sql = _tokens(sql, "spark")
     used = {name: view(spark, sf_dir) for name, view in VIEWS.items() if "{" + name + "}" in sql}
+    for name, text in shared.items():
+        if "{" + name + "}" in sql:
+            used[name] = run(spark, sf_dir, text, **{k: v for k, v in shared.items() if k != name}).persist(StorageLevel.MEMORY_AND_DISK)
     return spark.sql(sql, **used)
 
 
-def check_sql(sql: str) -> str:
+def check_sql(sql: str, **shared: str) -> str:
+    for _ in shared:
+        for name, text in shared.items():
+            sql = sql.replace("{" + name + "}", f"({text})")
     sql = _tokens(sql, "check")
     for name, text in SQL.items():
         sql = sql.replace("{" + name + "}", text)

@@ -12,8 +12,8 @@ _SQL = sql_factors.FACTORS | leverage.FACTORS
 
 
 def _of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: sql_factors.run(spark, sf_dir, sql)
+    return lambda spark, sf_dir: sql_factors.run(spark, sf_dir, sql, **leverage.SHARED)
 
 
 QUERIES = {**{name: _of(sql) for name, sql in _SQL.items()}, **kernel_factors.QUERIES, "knn": knn.query}
-ORACLES = {**{name: sql_factors.check_sql(sql) for name, sql in _SQL.items()}, "knn": knn.SQL, "hawkes_intensity": kernel_factors.hawkes_sql()}
+ORACLES = {**{name: sql_factors.check_sql(sql, **leverage.SHARED) for name, sql in _SQL.items()}, "knn": knn.SQL, "hawkes_intensity": kernel_factors.hawkes_sql()}
