@@ -22,14 +22,14 @@ class _Memo(dict):
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.old, self.most = encode, {}, self.MAX
 
     def __missing__(self, word):
         ids = self.old.get(word)
         if ids is None:
             ids = self.encode(word)
         if len(word) <= self.LONGEST:
-            if len(self) >= self.MAX:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[word] = ids
@@ -105,8 +105,9 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per worker process and file."""
+def encoder(path: str, words: int = _Memo.MAX) -> Encoder:
+    """One encoder per worker process and file; words: the size of a generation of its memo."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
+    _ENCODERS[path].memo.most = words
     return _ENCODERS[path]

@@ -26,6 +26,8 @@ from .bpe import encoder
 from .common import ship, shuffle_partitions, table, tokenizer_path
 
 WINDOW, MASK, SMALLEST, LARGEST = 32, 1023, 256, 16384
+#: Words of a generation of the encoder's memo: joins need memory beside it.
+WORDS = 40_000
 #: Stands for a null doc_id between the steps.
 NO_ID = -(1 << 63)
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -60,9 +62,16 @@ def chunk_ends(text: str) -> list[int]:
     return ends
 
 
+def _small(batches, rows: int = 1024):
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+        pa.default_memory_pool().release_unused()
+
+
 def _press(batches):
     """Texts as zstd frames: a third less to shuffle than what the engine's own codec makes of them."""
-    for b in batches:
+    for b in _small(batches):
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True)
         z = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), pa.array(z, pa.binary())], ["d", "k", "z"])
@@ -77,7 +86,7 @@ _EMPTY = zstandard.ZstdCompressor(level=3, write_content_size=True).compress(b""
 
 
 def _chunks(batches):
-    for b in batches:
+    for b in _small(batches):
         docs, keys, hashes, starts, ends = [], [], [], [], []
         for d, k, text in zip(b.column("d").to_pylist(), b.column("k").to_pylist(), _texts(b), strict=True):
             last = 0
@@ -93,8 +102,8 @@ def _chunks(batches):
 
 def _encode_chunks(path):
     def run(batches):
-        enc = encoder(path)
-        for b in batches:
+        enc = encoder(path, WORDS)
+        for b in _small(batches):
             hashes, ids = [], []
             for text, at in zip(_texts(b), b.column("at").to_pylist(), strict=True):
                 for x in at or ():
@@ -181,17 +190,15 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 def _encode_docs(path, decoded):
     def run(batches):
-        enc = encoder(path)
-        for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                ids = []
-                for text, known in zip(_texts(part), part.column("known").to_pylist(), strict=True):
-                    chunks = sorted({(x["s"], x["e"]): x["ids"] for x in known or ()}.items())
-                    ids.append(encode_with(enc, text, [(s, e, _unpack(i)) for (s, e), i in chunks]))
-                doc_id = [None if d == NO_ID else d for d in part.column("d").to_pylist()]
-                texts = [pa.array([enc.decode(x) for x in ids], pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), _lists(ids), *texts], ["doc_id", "ids", *["decoded"] * decoded])
+        enc = encoder(path, WORDS)
+        for part in _small(batches, 256):
+            ids = []
+            for text, known in zip(_texts(part), part.column("known").to_pylist(), strict=True):
+                chunks = sorted({(x["s"], x["e"]): x["ids"] for x in known or ()}.items())
+                ids.append(encode_with(enc, text, [(s, e, _unpack(i)) for (s, e), i in chunks]))
+            doc_id = [None if d == NO_ID else d for d in part.column("d").to_pylist()]
+            texts = [pa.array([enc.decode(x) for x in ids], pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), _lists(ids), *texts], ["doc_id", "ids", *["decoded"] * decoded])
 
     return run
 
@@ -221,7 +228,7 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = False) -> D
 
 def _decode(path):
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, WORDS)
         for b in batches:
             flat, offs = b.column("ids").flatten().to_numpy(zero_copy_only=False), b.column("ids").offsets.to_numpy()
             offs = offs - offs[0]
