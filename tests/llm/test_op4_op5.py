@@ -134,3 +134,50 @@ def test_similar_texts_meet(spark):
     assert sum(d in stay for d in want) <= 0.05 * len(want)
     assert {2000, 2002} <= stay and None not in stay and 2001 not in stay
     assert ps.similar(docs.limit(0)).count() == 0
+
+
+def test_judged_links_are_the_components(spark, monkeypatch):
+    from tidemark.llm import op5_similar as ps
+
+    monkeypatch.setattr(ps, "NEAREST", 1)
+    monkeypatch.setattr(ps, "MORE", 2)
+    monkeypatch.setattr(ps, "SHARE", 3)
+    rng, rows = np.random.default_rng(11), []
+    for g in range(3):
+        base = [f"g{g}w{k}" for k in range(300)]
+        for _ in range(40):
+            own = list(base)
+            for at in rng.choice(300, rng.integers(0, 14), replace=False):
+                own[at] = f"x{rng.integers(1 << 30)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows), rows[5][1]), (None, rows[6][1]), (rows[7][0], rows[7][1]), (900, None), (901, " \n"), (902, "a b"), (903, "A  b")]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, own int")
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    got = ps.similar(docs).collect()
+    named, want = {}, {}
+    for r in got:
+        named.setdefault(r.root, []).append(-1 if r.doc_id is None else r.doc_id)
+    for (d, _), r in zip(rows, root, strict=True):
+        want.setdefault(r, []).append(-1 if d is None else d)
+    assert sorted(map(sorted, named.values())) == sorted(map(sorted, want.values()))
+    assert ps.similar(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12), st.integers(0, 5)).filter(lambda x: x[0] != x[1]), max_size=60))
+def test_chosen_links(links):
+    from tidemark.llm import op5_similar as ps
+
+    i, j, d = (np.array(x, np.int64) for x in (zip(*links, strict=True) if links else ([], [], [])))
+    at = ps.lightest(i, j, d)
+    for most in range(6):  # up to any weight the forest joins what all links join
+        all_, own = d <= most, at[d[at] <= most]
+        assert set(zip(*map(np.ndarray.tolist, p5.forest(i[all_], j[all_])))) == set(zip(*map(np.ndarray.tolist, p5.forest(i[own], j[own]))))
+    assert at.size == (p5.forest(i, j)[0].size if links else 0)
+    assert np.array_equal(ps.nearest(i, j, d, 1000), np.arange(i.size))
