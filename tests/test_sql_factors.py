@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 from tidemark.functions import calendar, config, mathx
-from tidemark.operators import knn, leverage
+from tidemark.operators import event_factors, knn, leverage, slices
 from tidemark.operators.kernel_factors import hawkes_factor, hawkes_sql
 from tidemark.operators.sql_factors import FACTORS as WINDOWS, check_sql, run
 
-FACTORS = WINDOWS | leverage.FACTORS
-OTHERS = {"knn": (knn.query, knn.SQL), "hawkes": (hawkes_factor, hawkes_sql())}
+FACTORS = WINDOWS | event_factors.FACTORS | leverage.FACTORS
+ON_FACTORS = {n: (lambda spark, sf, on=on: run(spark, sf, on[0], **on[1]), check_sql(on[0], **on[1])) for n, on in leverage.ON_FACTORS.items()}
+OTHERS = {**ON_FACTORS, "knn": (knn.query, knn.SQL), "hawkes": (hawkes_factor, hawkes_sql()), **{n: (slices.QUERIES[n], slices.ORACLES[n]) for n in slices.QUERIES}}
 
 SF = "/root/testdata/sf0.01"
 

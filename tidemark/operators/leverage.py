@@ -1,6 +1,6 @@
 """From a factor to a position: rank-Gaussian scores, threshold search, equity and drawdown.
 
-The factor is the bar return.  Scores come from a trailing window; the sample of a code is split by
+The factor is the bar return, or any text that gives (code, ts_ms, value) on the times of the bars (shared).  Scores come from a trailing window; the sample of a code is split by
 place into train, validation and test.  Profile, score cap and risk scale come from train, the best
 threshold from validation, and the path is built over all rows.  All is declared as SQL; the grid of
 thresholds and candidates is a constant relation, and the only wide step is the partition by code.
@@ -9,18 +9,18 @@ thresholds and candidates is a constant relation, and the only wide step is the
 from __future__ import annotations
 
 from ..functions.mathx import normal_cdf
-from .sql_factors import RETURNS, gaussian_rank
+from .sql_factors import RETURNS, ar1, gaussian_rank, volume_ar_forecast
 
 TRAIN, VALIDATION = 0.6, 0.2
 RISK_DAYS, YEAR, MOST_LEVERAGE = 250, 252, 3.0
 
 
-def scored(w: int = 250) -> str:
+def scored(w: int = 250, factor: str = RETURNS, value: str = "r") -> str:
     """(code, ts_ms, x, z, next_return, split, i, n): scores joined with next returns, split by place."""
     nexts = "(SELECT code, ts_ms, n / close - 1e0 AS y FROM (SELECT code, ts_ms, close, lead(close) OVER (PARTITION BY code ORDER BY ts_ms) AS n FROM {bars}) WHERE close > 0 AND n > 0)"
     return f"""SELECT *, CASE WHEN i <= floor(n * {TRAIN}) THEN 'train' WHEN i <= floor(n * {TRAIN + VALIDATION}) THEN 'val' ELSE 'test' END AS split FROM (
-  SELECT z.code, z.ts_ms, r.r AS x, z.z, y.y AS next_return, row_number() OVER (PARTITION BY z.code ORDER BY z.ts_ms) AS i, count(*) OVER (PARTITION BY z.code) AS n
-  FROM ({gaussian_rank(w)}) z JOIN {RETURNS} r ON z.code = r.code AND z.ts_ms = r.ts_ms JOIN {nexts} y ON z.code = y.code AND z.ts_ms = y.ts_ms)"""
+  SELECT z.code, z.ts_ms, r.{value} AS x, z.z, y.y AS next_return, row_number() OVER (PARTITION BY z.code ORDER BY z.ts_ms) AS i, count(*) OVER (PARTITION BY z.code) AS n
+  FROM ({gaussian_rank(w, factor, value)}) z JOIN {factor} r ON z.code = r.code AND z.ts_ms = r.ts_ms JOIN {nexts} y ON z.code = y.code AND z.ts_ms = y.ts_ms)"""
 
 
 def profile() -> str:
@@ -76,6 +76,44 @@ def segments() -> str:
     return f"""SELECT code, split, count(*) AS n, round(sum(leverage * next_return), 4) AS gain, round(sum(next_return), 4) AS hold, round(max(drawdown), 4) AS worst FROM ({path()}) GROUP BY code, split"""
 
 
+def report() -> str:
+    """Score, buy-and-hold score, end and drawdown of every segment; equity begins anew in each."""
+    score = lambda ll, lr, dd: f"CASE WHEN {ll} > 1e-12 AND {dd} > 1e-12 THEN round(sqrt(t / {ll}) * ({YEAR} / t * {lr}) / sqrt({YEAR} / t * {dd}), 4) END"
+    part = "PARTITION BY code, split ORDER BY ts_ms ROWS UNBOUNDED PRECEDING"
+    return f"""SELECT code, split, CAST(t AS BIGINT) AS n, first_ms, last_ms, {score("ll", "lr", "dd")} AS score, {score("t", "hr", "hd")} AS baseline_score, round(lr, 4) AS final_equity, round(sqrt(dd / t), 4) AS dd_rms, CAST(days AS BIGINT) AS trade_days FROM (
+  SELECT code, split, CAST(count(*) AS DOUBLE) AS t, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, sum(leverage * leverage) AS ll, sum(leverage * next_return) AS lr, sum(next_return) AS hr, sum(d * d) AS dd, sum(h * h) AS hd, sum(active) AS days FROM (
+    SELECT *, greatest(max(e) OVER ({part}), 0e0) - e AS d, greatest(max(b) OVER ({part}), 0e0) - b AS h FROM (
+      SELECT code, split, ts_ms, leverage, next_return, active, sum(leverage * next_return) OVER ({part}) AS e, sum(next_return) OVER ({part}) AS b FROM ({path()}))) GROUP BY code, split)"""
+
+
+def raw_thresholds() -> str:
+    """The best candidates' thresholds in units of the factor: quantiles of train, of the sides that trade."""
+    at = lambda p: f"sum(CASE WHEN k = floor({p} * (n - 1)) THEN x * (1e0 - ({p} * (n - 1) - floor({p} * (n - 1)))) WHEN k = floor({p} * (n - 1)) + 1 THEN x * ({p} * (n - 1) - floor({p} * (n - 1))) ELSE 0e0 END)"
+    return f"""SELECT code, mode, theta, CASE WHEN mode <> 'pos' THEN round(low, 6) END AS raw_threshold_low, CASE WHEN mode <> 'neg' THEN round(high, 6) END AS raw_threshold_high FROM (
+  SELECT code, mode, theta, {at("(1e0 - p)")} AS low, {at("p")} AS high FROM (
+    SELECT g.code, g.mode, g.theta, {normal_cdf("g.theta")} AS p, s.x, s.k, s.n FROM ({search()}) g
+    JOIN (SELECT code, x, CAST(row_number() OVER (PARTITION BY code ORDER BY x) - 1 AS DOUBLE) AS k, CAST(count(*) OVER (PARTITION BY code) AS DOUBLE) AS n FROM {{scored}} WHERE split = 'train') s ON g.code = s.code)
+  GROUP BY code, mode, theta)"""
+
+
+def eligible() -> str:
+    """Sizes of every code's sample and whether they are enough to search on."""
+    # fixed values: least points of the sample, factor values and parts
+    return """SELECT code, n, n_train, n_val, n_test, CASE WHEN n >= 60 AND n_train >= 20 AND n_val >= 10 AND n_test >= 10 THEN 1 ELSE 0 END AS eligible FROM (
+  SELECT code, count(*) AS n, count(CASE WHEN split = 'train' THEN 1 END) AS n_train, count(CASE WHEN split = 'val' THEN 1 END) AS n_val, count(CASE WHEN split = 'test' THEN 1 END) AS n_test FROM {scored} GROUP BY code)"""
+
+
+def shared(factor: str, value: str, w: int = 250) -> dict[str, str]:
+    """Relations for a run on another factor: its text and the column that holds its value."""
+    return {"scored": scored(w, f"({factor})", value), "profile": profile()}
+
+
 #: Relations that the texts read more than once.
 SHARED = {"scored": scored(), "profile": profile()}
-FACTORS = {"leverage_profile": profile(), "leverage_search": search(), "leverage_path": path(), "leverage_segments": segments()}
+FACTORS = {"leverage_profile": profile(), "leverage_search": search(), "leverage_path": path(), "leverage_segments": segments(), "leverage_report": report(), "leverage_thresholds": raw_thresholds(), "leverage_eligible": eligible()}
+
+#: Searches on other factors: the text of the query and its relations.
+ON_FACTORS = {
+    "leverage_ar1_return": (search(), shared(ar1(), "ar1_return_coeff")),
+    "leverage_volume_ar_forecast": (search(), shared(volume_ar_forecast(), "vol_ar1_pred_ratio")),
+}

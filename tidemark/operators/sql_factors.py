@@ -82,7 +82,7 @@ def volume_autocorr(w: int = 128, lags=(1, 2, 4, 8)) -> str:
     """Mean correlation of the volume with its lags, from running sums: the cost does not grow with the frame."""
     code = "PARTITION BY code ORDER BY ts_ms"
     far = max(lags)
-    run = ", ".join(f"sum(volume * v{k}) OVER u AS p{k}" for k in lags)
+    run = ", ".join(f"coalesce(sum(volume * v{k}) OVER u, 0e0) AS p{k}" for k in lags)
     step = ", ".join(f"p{k} - lag(p{k}, {w}) OVER o AS xy{k}, lag(c, {k}) OVER o - lag(c, {k + w}, 0e0) OVER o AS x{k}, lag(q, {k}) OVER o - lag(q, {k + w}, 0e0) OVER o AS xx{k}" for k in lags)
     each = " + ".join(f"(xy{k} - y * x{k} / {w}e0) / sqrt(nullif((yy - y * y / {w}e0) * (xx{k} - x{k} * x{k} / {w}e0), 0e0))" for k in lags)
     before = ", ".join(f"lag(volume, {k}) OVER ({code}) AS v{k}" for k in lags)
@@ -111,12 +111,12 @@ def volume_ar_forecast(w: int = 120, ma: int = 20, h: int = 5) -> str:
     SELECT code, ts_ms, volume, ln(volume) AS lv, lag(ln(volume)) OVER (PARTITION BY code ORDER BY ts_ms) AS p FROM {{bars}} WHERE volume > 0) WINDOW {rows(w - 1)}, {rows(ma, "u")}) WHERE n = {w - 1} AND b IS NOT NULL"""
 
 
-def gaussian_rank(w: int = 250) -> str:
-    """Rank of the newest close return in its window, as a normal score."""
+def gaussian_rank(w: int = 250, source: str = RETURNS, x: str = "r") -> str:
+    """Rank of the newest value in its window, by default of a close return, as a normal score."""
     return f"""SELECT code, ts_ms, round({normal_ppf("u")}, 6) AS z FROM (
   SELECT code, ts_ms, {clamp("(k - 5e-1) / n", 0.000001, 0.999999)} AS u FROM (
     SELECT code, ts_ms, {{count_le:xs:r}} AS k, n FROM (
-      SELECT code, ts_ms, r, {{list}}(r) OVER w AS xs, count(*) OVER w AS n FROM {RETURNS} WHERE r IS NOT NULL WINDOW {rows(w)})))""".replace("1e-06e0", "1e-6")
+      SELECT code, ts_ms, {x} AS r, {{list}}({x}) OVER w AS xs, count(*) OVER w AS n FROM {source} WHERE {x} IS NOT NULL WINDOW {rows(w)})))""".replace("1e-06e0", "1e-6")
 
 
 def high_volume(w: int = 240, q: float = 0.8) -> str:
