@@ -139,7 +139,7 @@ def test_similar_texts_meet(spark):
 def test_judged_links_are_the_components(spark, monkeypatch):
     from tidemark.llm import op5_similar as ps
 
-    monkeypatch.setattr(ps, "NEAREST", 1)
+    monkeypatch.setattr(ps, "NEAREST", (1, 1))
     monkeypatch.setattr(ps, "MORE", 2)
     monkeypatch.setattr(ps, "SHARE", 3)
     rng, rows = np.random.default_rng(11), []
