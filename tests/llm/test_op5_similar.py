@@ -16,3 +16,9 @@ def test_repeated_lines_do_not_hide_a_copy(spark):
     got = roots(spark, rows)
     assert all(got[2 * g] == got[2 * g + 1] for g in range(len(times)))
     assert len(set(got.values())) == len(times)
+
+
+def test_a_common_run_joins_no_strangers(spark):
+    run = "| " * 400
+    rows = [(d, run + " ".join(f"d{d}w{i}" for i in range(300))) for d in range(6)]
+    assert len(set(roots(spark, rows).values())) == len(rows)
