@@ -22,3 +22,15 @@ def test_a_common_run_joins_no_strangers(spark):
     run = "| " * 400
     rows = [(d, run + " ".join(f"d{d}w{i}" for i in range(300))) for d in range(6)]
     assert len(set(roots(spark, rows).values())) == len(rows)
+
+
+def test_every_pair_at_the_bound_links(spark):
+    rng, rows = np.random.default_rng(5), []
+    for g in range(400):
+        words = [f"g{g}w{i}" for i in range(229)]  # 225 shingles
+        for at in 10 + 45 * np.arange(5) + rng.integers(0, 25, 5):  # 25 of them change: 200 of 250 shared
+            words[at] = f"x{at}"
+        rows += [(2 * g, " ".join(f"g{g}w{i}" for i in range(229))), (2 * g + 1, " ".join(words))]
+    got = roots(spark, rows)
+    assert sum(got[2 * g] != got[2 * g + 1] for g in range(400)) == 0
+    assert len(set(got.values())) == 400
