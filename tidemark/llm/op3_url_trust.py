@@ -25,8 +25,8 @@ RULES = [
     ("com/fr/", "com", "/fr/", "allow"),
     ("com/de/", "com", "/de/", "block"),
 ]
-#: Damping; rounds at most; change of the whole mass at which the walks end; blocked from this
-#: multiple of the trust on.
+#: Damping; rounds that the check SQL unrolls (the walks have no such limit); largest relative change of a
+#: host's score at which the walks end; blocked from this multiple of the trust on.
 DAMPING, ROUNDS, SETTLED, OUTWEIGH = 0.85, 20, 1e-6, 2.0
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)\bhref\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
@@ -58,20 +58,22 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.join(counted.groupBy("src").agg(F.sum("count").alias("all")), "src").select("src", "dst", (F.col("count") / F.col("all")).alias("w"))
 
 
-def walk(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, score): personalised PageRank.  edges (src, dst, w), seeds (host, seed) adding up to 1."""
+def walk(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
+    """(host, score): personalised PageRank.  edges (src, dst, w), seeds (host, seed) adding up to 1.
+
+    Rounds go on until every score has settled, so all hosts that a seed reaches have one.
+    """
     rest = 1.0 - damping
     base = seeds.select("host", (F.col("seed") * rest).alias("base"))
     score = base.select("host", F.col("base").alias("score"))
-    for _ in range(rounds):
+    while True:
         passed = edges.join(score, edges.src == score.host).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("w") * damping).alias("in"))
         new = base.join(passed, "host", "full").select("host", (F.coalesce("base", F.lit(0.0)) + F.coalesce("in", F.lit(0.0))).alias("score"))
         new = cut(new)
-        moved = new.join(score.withColumnRenamed("score", "old"), "host", "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))))).first()[0]
+        moved = new.join(score.withColumnRenamed("score", "old"), "host", "left").agg(F.max(F.try_divide(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))), "score"))).first()[0]
         score = new
         if (moved or 0.0) < SETTLED:
-            break
-    return score
+            return score
 
 
 def host_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
