@@ -15,3 +15,10 @@ def test_walk_settles_and_reaches_all(spark):
         want = new
     assert set(got) == set(want)
     assert all(abs(got[h] - want[h]) < 1e-5 * want[h] for h in want)
+
+
+def test_protocol_relative_links_are_edges(spark):
+    html = """<a href='//Host.example/x'>a</a> <a href="http://two.example">b</a> <a href="/p//q">c</a> <a href=//three.example?x>d</a> <a href="x//y">e</a>"""
+    pages = spark.createDataFrame([(1, "http://one.example/", html), (2, "http://four.example/", "<a href='//one.example'>")], "page_id long, url string, html string")
+    got = {(r.src, r.dst) for r in p3.host_edges(pages).collect()}
+    assert got == {("one.example", "host.example"), ("one.example", "two.example"), ("one.example", "three.example"), ("four.example", "one.example")}

@@ -1,7 +1,7 @@
 """URL filters by link-graph propagation.
 
 Rules decide urls that they fit.  Hosts of allowed and blocked urls seed two walks over the host graph
-of absolute links: personalised PageRank carries trust along links from trusted hosts, its reverse
+of links that name a host (absolute or protocol-relative): personalised PageRank carries trust along links from trusted hosts, its reverse
 carries distrust from blocked hosts back to those that link to them.  A host whose distrust outweighs
 its trust is blocked, all others are allowed.  Everything is DataFrame operations.
 
@@ -29,7 +29,7 @@ RULES = [
 #: host's score at which the walks end; blocked from this multiple of the trust on.
 DAMPING, ROUNDS, SETTLED, OUTWEIGH = 0.85, 20, 1e-6, 2.0
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-_LINK = r"""(?i)\bhref\s*=\s*["']?[a-z][a-z0-9+.-]*://([^/?#"'\s>]+)"""
+_LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
 def split_url(url):
@@ -49,10 +49,10 @@ def rule_of(host, path, rules=RULES):
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, w): each host's shares of its absolute links to other hosts, adding up to 1."""
+    """(src, dst, w): each host's shares of its links to other hosts, adding up to 1."""
     host, _ = split_url(F.col("url"))
     found = F.array_distinct(F.regexp_extract_all(F.col("html"), F.lit(_LINK), F.lit(1)))
-    links = pages.filter(F.contains("html", F.lit("://"))).select(host.alias("src"), F.explode(found).alias("dst"))
+    links = pages.filter(F.contains("html", F.lit("//"))).select(host.alias("src"), F.explode(found).alias("dst"))
     links = links.select("src", lower_ascii(F.col("dst")).alias("dst")).filter("src <> '' and src <> dst")
     counted = links.groupBy("src", "dst").count()
     return counted.join(counted.groupBy("src").agg(F.sum("count").alias("all")), "src").select("src", "dst", (F.col("count") / F.col("all")).alias("w"))
