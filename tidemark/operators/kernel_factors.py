@@ -66,7 +66,7 @@ def event_kernels(pdf: pd.DataFrame) -> pd.DataFrame:
     return _long(pdf.code.iloc[0], pdf.ts_ms.to_numpy(), {"time/hawkes_intensity": k.hawkes((pdf.src == 1).to_numpy(float))})
 
 
-def flow_kernels(pdf: pd.DataFrame) -> pd.DataFrame:
+def flow_kernels(pdf: pd.DataFrame, granger_w: int = 240, copula_w: int = 30) -> pd.DataFrame:
     """Granger causality and copula prediction from quotes and the order flow before them."""
     pdf = pdf.sort_values(["ts_ms", "seq"])
     code, ts, mid = pdf.code.iloc[0], pdf.ts_ms.to_numpy(), pdf.mid.to_numpy(float)
@@ -74,10 +74,10 @@ def flow_kernels(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     if ok.sum() > 2:
         y, x = np.diff(mid[ok]), pdf.ofi_strict.to_numpy(float)[ok][1:]
-        strength, pval = k.granger(y, x)
+        strength, pval = k.granger(y, x, granger_w)
         out.append(_long(code, ts[ok][1:], {"granger/strength": strength, "granger/pval": pval}))
         r = k.log_returns(mid[ok])[1:]
-        out.append(_long(code, ts[ok][1:], {"gaussian_copula/prediction": k.copula(pdf.ofi.to_numpy(float)[ok][1:], pdf.order_volume.to_numpy(float)[ok][1:], r)}))
+        out.append(_long(code, ts[ok][1:], {"gaussian_copula/prediction": k.copula(pdf.ofi.to_numpy(float)[ok][1:], pdf.order_volume.to_numpy(float)[ok][1:], r, copula_w)}))
     return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"code": [], "ts_ms": [], "topic": [], "value": []})
 
 
@@ -94,9 +94,13 @@ def hawkes_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks.groupBy("code").applyInPandas(event_kernels, LONG)
 
 
-def flow_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Windows of Granger and the copula as registered: the test views have few rows per code (survey section 7.2).
+FLOW_WINDOWS = (60, 20)
+
+
+def flow_factors(spark: SparkSession, sf_dir: str, windows: tuple[int, int] = FLOW_WINDOWS) -> DataFrame:
     flow = run(spark, sf_dir, f"SELECT f.*, q.mid FROM ({order_flow()}) f JOIN (SELECT code, ts_ms, seq, mid FROM {_TAGGED} WHERE src = 0) q ON f.code = q.code AND f.ts_ms = q.ts_ms AND f.seq = q.seq")
-    return flow.groupBy("code").applyInPandas(flow_kernels, LONG)
+    return flow.groupBy("code").applyInPandas(lambda pdf: flow_kernels(pdf, *windows), LONG)
 
 
 def hawkes_sql() -> str:

@@ -308,7 +308,7 @@ def _fraction(x: float, a: float, b: float) -> float:
     return h
 
 
-def granger(y: np.ndarray, x: np.ndarray, w=60, p=2, q=2, least=16, cap=20.0) -> tuple[np.ndarray, np.ndarray]:
+def granger(y: np.ndarray, x: np.ndarray, w=240, p=2, q=2, least=16, cap=20.0) -> tuple[np.ndarray, np.ndarray]:
     """Strength and p-value of x's lags for y in rolling least squares; n counts y's window."""
     strength, pval = np.full(y.size, NAN), np.full(y.size, NAN)
     top = max(p, q)
@@ -332,7 +332,7 @@ def granger(y: np.ndarray, x: np.ndarray, w=60, p=2, q=2, least=16, cap=20.0) ->
     return strength, pval
 
 
-def copula(ofi, volume, r, w=20, reg=1e-6) -> np.ndarray:
+def copula(ofi, volume, r, w=30, reg=1e-6) -> np.ndarray:
     """Conditional mean of the return score given order-flow scores, as a return of the window."""
     n, out = r.size, np.full(r.size, NAN)
     from statistics import NormalDist
