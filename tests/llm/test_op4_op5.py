@@ -139,9 +139,8 @@ def test_similar_texts_meet(spark):
 def test_judged_links_are_the_components(spark, monkeypatch):
     from tidemark.llm import op5_similar as ps
 
-    monkeypatch.setattr(ps, "NEAREST", (1, 1))
-    monkeypatch.setattr(ps, "MORE", 2)
-    monkeypatch.setattr(ps, "SHARE", 3)
+    for name, value in (("NEAREST", 1), ("MORE", 2), ("SHARE", 3), ("BLOCK", 16), ("PLACES", 8), ("PLACE", 500), ("SMALL", 10), ("HELD", 50)):
+        monkeypatch.setattr(ps, name, value)
     rng, rows = np.random.default_rng(11), []
     for g in range(3):
         base = [f"g{g}w{k}" for k in range(300)]
@@ -170,14 +169,25 @@ def test_judged_links_are_the_components(spark, monkeypatch):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12), st.integers(0, 5)).filter(lambda x: x[0] != x[1]), max_size=60))
-def test_chosen_links(links):
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12), st.integers(0, 5)).filter(lambda x: x[0] != x[1]), max_size=60), st.integers(1, 4))
+def test_nearest_links(links, most):
     from tidemark.llm import op5_similar as ps
 
     i, j, d = (np.array(x, np.int64) for x in (zip(*links, strict=True) if links else ([], [], [])))
-    at = ps.lightest(i, j, d)
-    for most in range(6):  # up to any weight the forest joins what all links join
-        all_, own = d <= most, at[d[at] <= most]
-        assert set(zip(*map(np.ndarray.tolist, p5.forest(i[all_], j[all_])))) == set(zip(*map(np.ndarray.tolist, p5.forest(i[own], j[own]))))
-    assert at.size == (p5.forest(i, j)[0].size if links else 0)
     assert np.array_equal(ps.nearest(i, j, d, 1000), np.arange(i.size))
+    want = set()
+    for end in set(i.tolist() + j.tolist()):
+        own = [k for k in range(i.size) if end in (i[k], j[k])]
+        want |= set(sorted(own, key=lambda k: (d[k], k))[:most])
+    assert set(ps.nearest(i, j, d, most).tolist()) == want
+
+
+def test_packed_sets_and_sketches():
+    from tidemark.llm import op5_similar as ps
+
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 400, 5000):
+        own = np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))
+        assert np.array_equal(ps.unpacked(ps.packed(own)), own) and np.array_equal(ps.unpack_set(ps.pack_set(own)), own)
+        odd = np.bincount((own % np.uint64(1024)).astype(int), minlength=1024) & 1
+        assert ps.folded(ps.sketch(own), 128) == np.packbits(odd.astype(bool), bitorder="little").tobytes()

@@ -46,10 +46,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one is set only where none is named."""
+    """The shared folder the cluster names; one of this machine's own only in local mode and where none is named."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="tidemark-ckpt")
