@@ -191,3 +191,10 @@ def test_packed_sets_and_sketches():
         assert np.array_equal(ps.unpacked(ps.packed(own)), own) and np.array_equal(ps.unpack_set(ps.pack_set(own)), own)
         odd = np.bincount((own % np.uint64(1024)).astype(int), minlength=1024) & 1
         assert ps.folded(ps.sketch(own), 128) == np.packbits(odd.astype(bool), bitorder="little").tobytes()
+    sets = [np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64)) for n in (3000, 2900, 800, 9000, 900, 0)]
+    apart = ps._apart([ps.sketch(x) for x in sets])
+    for a, x in enumerate(sets):
+        for b, y in enumerate(sets):
+            least = 8 * min(len(ps.sketch(x)), len(ps.sketch(y)))
+            odd = [np.bincount((z % np.uint64(least)).astype(int), minlength=least) & 1 for z in (x, y)]
+            assert apart(np.array([a]), np.array([b]))[0] == (odd[0] != odd[1]).sum()
