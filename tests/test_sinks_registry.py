@@ -49,7 +49,7 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_summary(rows, str(tmp_path / "best"))
     assert spark.read.csv(str(tmp_path / "best"), header=True).count() == 2 * best.count() == 2 * rows.count() > 0
-    assert len(rows.columns) == 25
+    assert len(rows.columns) == 23
 
 
 def test_every_binding_resolves(spark):

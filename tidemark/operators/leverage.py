@@ -1,119 +1,206 @@
 """From a factor to a position: rank-Gaussian scores, threshold search, equity and drawdown.
 
-The factor is the bar return, or any text that gives (code, ts_ms, value) on the times of the bars (shared).  Scores come from a trailing window; the sample of a code is split by
-place into train, validation and test.  Profile, score cap and risk scale come from train, the best
-threshold from validation, and the path is built over all rows.  All is declared as SQL; the grid of
-thresholds and candidates is a constant relation, and the only wide step is the partition by code.
+The calendar of a code is the bars that have a next log return; a factor is joined to it from the left, and
+days without a value are flat.  Scores come from a trailing window.  The calendar is split by place into
+train, validation and test: the distribution's kind, the score cap and the risk scale come from train, the
+best candidate from validation, and the path is built over all rows.
+
+A code's calendar is one group of one Arrow pass (some thousand days); all thresholds are evaluated side by
+side, once for each query.  plans/leverage_check.py holds the same definitions as SQL, written separately.
 """
 
 from __future__ import annotations
 
-from ..functions.mathx import normal_cdf
-from .sql_factors import RETURNS, ar1, gaussian_rank, volume_ar_forecast
-
-TRAIN, VALIDATION = 0.6, 0.2
-RISK_DAYS, YEAR, MOST_LEVERAGE = 250, 252, 3.0
-
-
-def scored(w: int = 250, factor: str = RETURNS, value: str = "r") -> str:
-    """(code, ts_ms, x, z, next_return, split, i, n): scores joined with next returns, split by place."""
-    nexts = "(SELECT code, ts_ms, n / close - 1e0 AS y FROM (SELECT code, ts_ms, close, lead(close) OVER (PARTITION BY code ORDER BY ts_ms) AS n FROM {bars}) WHERE close > 0 AND n > 0)"
-    return f"""SELECT *, CASE WHEN i <= floor(n * {TRAIN}) THEN 'train' WHEN i <= floor(n * {TRAIN + VALIDATION}) THEN 'val' ELSE 'test' END AS split FROM (
-  SELECT z.code, z.ts_ms, r.{value} AS x, z.z, y.y AS next_return, row_number() OVER (PARTITION BY z.code ORDER BY z.ts_ms) AS i, count(*) OVER (PARTITION BY z.code) AS n
-  FROM ({gaussian_rank(w, factor, value)}) z JOIN {factor} r ON z.code = r.code AND z.ts_ms = r.ts_ms JOIN {nexts} y ON z.code = y.code AND z.ts_ms = y.ts_ms)"""
-
-
-def profile() -> str:
-    """Kind of the factor's distribution on train: discrete, symmetric or asymmetric."""
-    q = lambda p, x="x": "{quantile:" + x + ":" + str(p) + "}"
-    return f"""SELECT *, CASE WHEN unique_ratio < 0.15e0 OR max_freq_ratio > 0.03e0 THEN 'discrete' WHEN symmetry_score <= 0.2e0 THEN 'symmetric' ELSE 'asymmetric' END AS profile_kind FROM (
-  SELECT u.code, round(u.d / u.n, 6) AS unique_ratio, round(u.m / u.n, 6) AS max_freq_ratio, round(abs((s.q90 + s.q10) / 2e0 - s.q50) / greatest(1e-12, s.q90 - s.q10), 6) AS symmetry_score,
-         round(least(greatest(s.zq, 1.5e0), 6e0), 6) AS z_cap FROM (
-    SELECT code, CAST(count(*) AS DOUBLE) AS d, CAST(max(c) AS DOUBLE) AS m, CAST(sum(c) AS DOUBLE) AS n FROM (SELECT code, round(x, 6) AS x, count(*) AS c FROM {{scored}} WHERE split = 'train' GROUP BY code, round(x, 6)) GROUP BY code) u
-  JOIN (SELECT code, {q(0.9)} AS q90, {q(0.1)} AS q10, {q(0.5)} AS q50, {q(0.99, "az")} AS zq FROM (SELECT *, abs(z) AS az FROM {{scored}} WHERE split = 'train') GROUP BY code) s ON u.code = s.code)"""
-
-
-def _grid() -> str:
-    modes = [("symmetric", "both"), ("asymmetric", "pos"), ("asymmetric", "neg"), ("discrete", "both"), ("discrete", "pos"), ("discrete", "neg")]
-    rows = ", ".join(f"('{k}', '{m}', {p}e0)" for k, m in modes for p in (1, -1))
-    thetas = ", ".join(f"({round(0.05 * i, 2)}e0)" for i in range(51))
-    return f"(SELECT * FROM (VALUES {rows}) AS m(kind, mode, polarity) CROSS JOIN (VALUES {thetas}) AS t(theta))"
-
-
-def signals(candidates: str | None = None) -> str:
-    """Raw positions of the candidates, by default of all, and each candidate's risk scale from the end of train."""
-    active = "((g.mode = 'both' AND abs(s.z) > g.theta) OR (g.mode = 'pos' AND s.z > g.theta) OR (g.mode = 'neg' AND s.z < -g.theta))"
-    size = f"(1e0 + least(greatest((abs(s.z) - g.theta) / (greatest(p.z_cap, g.theta + 1e-3) - g.theta), 0e0), 1e0) * {MOST_LEVERAGE - 1}e0)".replace(f"{MOST_LEVERAGE - 1}e0", "2e0")
-    return f"""(SELECT s.code, s.ts_ms, s.i, s.n, s.split, s.x, s.z, s.next_return, p.profile_kind, p.unique_ratio, p.max_freq_ratio, p.symmetry_score, p.z_cap, g.mode, g.polarity, g.theta, {'g.c_scale,' if candidates else ''}
-  CASE WHEN {active} THEN g.polarity * sign(s.z) * {size} ELSE 0e0 END AS b FROM {{scored}} s JOIN {{profile}} p ON s.code = p.code JOIN {candidates or _grid() + ' g ON g.kind = p.profile_kind'})"""
-
-
-def search() -> str:
-    """The best candidate of every code by its score on validation."""
-    key = "code, mode, polarity, theta"
-    scale = f"(SELECT {key}, sqrt(count(*) / nullif(sum(b * b), 0e0)) AS c FROM {signals()} WHERE split = 'train' AND i > floor(n * {TRAIN}) - {RISK_DAYS} GROUP BY {key})"
-    return f"""SELECT code, mode, polarity, theta, round(c, 6) AS c_scale, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY code ORDER BY round(score, 9) DESC, theta, mode, polarity DESC) AS k FROM (
-    SELECT {key}, c, sqrt(t / ll) * ({YEAR} / t * lr) / sqrt({YEAR} / t * dd) AS score FROM (
-      SELECT {key}, max(c) AS c, CAST(count(*) AS DOUBLE) AS t, sum(l * l) AS ll, sum(l * next_return) AS lr, sum(d * d) AS dd, sum(CASE WHEN b <> 0 THEN 1 ELSE 0 END) AS active FROM (
-        SELECT *, greatest(max(e) OVER (PARTITION BY {key} ORDER BY ts_ms ROWS UNBOUNDED PRECEDING), 0e0) - e AS d FROM (
-          SELECT s.*, c, c * b AS l, sum(c * b * next_return) OVER (PARTITION BY s.code, s.mode, s.polarity, s.theta ORDER BY ts_ms ROWS UNBOUNDED PRECEDING) AS e
-          FROM {signals()} s JOIN {scale} k ON s.code = k.code AND s.mode = k.mode AND s.polarity = k.polarity AND s.theta = k.theta WHERE s.split = 'val' AND c IS NOT NULL)) GROUP BY {key})
-    WHERE ll > 1e-12 AND dd > 1e-12 AND active >= ceil(t / {YEAR} * 50))) WHERE k = 1"""
-
-
-def path() -> str:
-    """The walk-forward rows of every code with its best candidate."""
-    return f"""SELECT code, ts_ms, split, round(x, 6) AS factor_raw, z, mode, polarity, theta, z_cap, c_scale, round(b, 6) AS b_raw, round(l, 6) AS leverage, round(next_return, 6) AS next_return,
-  round(e, 4) AS equity, round(greatest(max(e) OVER (PARTITION BY code ORDER BY ts_ms ROWS UNBOUNDED PRECEDING), 0e0) - e, 4) AS drawdown, CASE WHEN b <> 0 THEN 1 ELSE 0 END AS active, profile_kind, symmetry_score, unique_ratio, max_freq_ratio,
-  round({normal_cdf("theta")}, 6) AS raw_quantile_high FROM (
-  SELECT s.*, s.c_scale * s.b AS l, sum(s.c_scale * s.b * s.next_return) OVER (PARTITION BY s.code ORDER BY s.ts_ms ROWS UNBOUNDED PRECEDING) AS e
-  FROM {signals(f"({search()}) g ON g.code = s.code")} s)"""
-
-
-def segments() -> str:
-    """Score and buy-and-hold sums of every segment of every code."""
-    return f"""SELECT code, split, count(*) AS n, round(sum(leverage * next_return), 4) AS gain, round(sum(next_return), 4) AS hold, round(max(drawdown), 4) AS worst FROM ({path()}) GROUP BY code, split"""
-
-
-def report() -> str:
-    """Score, buy-and-hold score, end and drawdown of every segment; equity begins anew in each."""
-    score = lambda ll, lr, dd: f"CASE WHEN {ll} > 1e-12 AND {dd} > 1e-12 THEN round(sqrt(t / {ll}) * ({YEAR} / t * {lr}) / sqrt({YEAR} / t * {dd}), 4) END"
-    part = "PARTITION BY code, split ORDER BY ts_ms ROWS UNBOUNDED PRECEDING"
-    return f"""SELECT code, split, CAST(t AS BIGINT) AS n, first_ms, last_ms, {score("ll", "lr", "dd")} AS score, {score("t", "hr", "hd")} AS baseline_score, round(lr, 4) AS final_equity, round(sqrt(dd / t), 4) AS dd_rms, CAST(days AS BIGINT) AS trade_days FROM (
-  SELECT code, split, CAST(count(*) AS DOUBLE) AS t, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, sum(leverage * leverage) AS ll, sum(leverage * next_return) AS lr, sum(next_return) AS hr, sum(d * d) AS dd, sum(h * h) AS hd, sum(active) AS days FROM (
-    SELECT *, greatest(max(e) OVER ({part}), 0e0) - e AS d, greatest(max(b) OVER ({part}), 0e0) - b AS h FROM (
-      SELECT code, split, ts_ms, leverage, next_return, active, sum(leverage * next_return) OVER ({part}) AS e, sum(next_return) OVER ({part}) AS b FROM ({path()}))) GROUP BY code, split)"""
-
-
-def raw_thresholds() -> str:
-    """The best candidates' thresholds in units of the factor: quantiles of train, of the sides that trade."""
-    at = lambda p: f"sum(CASE WHEN k = floor({p} * (n - 1)) THEN x * (1e0 - ({p} * (n - 1) - floor({p} * (n - 1)))) WHEN k = floor({p} * (n - 1)) + 1 THEN x * ({p} * (n - 1) - floor({p} * (n - 1))) ELSE 0e0 END)"
-    return f"""SELECT code, mode, theta, CASE WHEN mode <> 'pos' THEN round(low, 6) END AS raw_threshold_low, CASE WHEN mode <> 'neg' THEN round(high, 6) END AS raw_threshold_high FROM (
-  SELECT code, mode, theta, {at("(1e0 - p)")} AS low, {at("p")} AS high FROM (
-    SELECT g.code, g.mode, g.theta, {normal_cdf("g.theta")} AS p, s.x, s.k, s.n FROM ({search()}) g
-    JOIN (SELECT code, x, CAST(row_number() OVER (PARTITION BY code ORDER BY x) - 1 AS DOUBLE) AS k, CAST(count(*) OVER (PARTITION BY code) AS DOUBLE) AS n FROM {{scored}} WHERE split = 'train') s ON g.code = s.code)
-  GROUP BY code, mode, theta)"""
-
-
-def eligible() -> str:
-    """Sizes of every code's sample and whether they are enough to search on."""
-    # fixed values: least points of the sample, factor values and parts
-    return """SELECT code, n, n_train, n_val, n_test, CASE WHEN n >= 60 AND n_train >= 20 AND n_val >= 10 AND n_test >= 10 THEN 1 ELSE 0 END AS eligible FROM (
-  SELECT code, count(*) AS n, count(CASE WHEN split = 'train' THEN 1 END) AS n_train, count(CASE WHEN split = 'val' THEN 1 END) AS n_val, count(CASE WHEN split = 'test' THEN 1 END) AS n_test FROM {scored} GROUP BY code)"""
-
-
-def shared(factor: str, value: str, w: int = 250) -> dict[str, str]:
-    """Relations for a run on another factor: its text and the column that holds its value."""
-    return {"scored": scored(w, f"({factor})", value), "profile": profile()}
-
-
-#: Relations that the texts read more than once.
-SHARED = {"scored": scored(), "profile": profile()}
-FACTORS = {"leverage_profile": profile(), "leverage_search": search(), "leverage_path": path(), "leverage_segments": segments(), "leverage_report": report(), "leverage_thresholds": raw_thresholds(), "leverage_eligible": eligible()}
-
-#: Searches on other factors: the text of the query and its relations.
-ON_FACTORS = {
-    "leverage_ar1_return": (search(), shared(ar1(), "ar1_return_coeff")),
-    "leverage_volume_ar_forecast": (search(), shared(volume_ar_forecast(), "vol_ar1_pred_ratio")),
-}
+import math
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .sql_factors import RETURNS, ar1, run, volume_ar_forecast
+
+# fixed values: the defaults of the search
+WINDOW, TRAIN, VALIDATION, MOST_LEVERAGE = 250, 0.6, 0.2, 2.0
+THETAS = np.cumsum([0.0] + [0.05] * 50)
+RISK_DAYS, YEAR, LEAST_TRADES, CAP = 250, 252.0, 50.0, (0.99, 1.5, 6.0)
+DISCRETE, MOST_FREQUENT, SYMMETRIC, GRID = 0.15, 0.03, 0.2, 1e-6
+LEAST_FINITE, LEAST_DAYS, LEAST_SPLIT = 30, 60, (20, 10, 10)
+SIDES = {"symmetric": ["both"], "asymmetric": ["pos", "neg"], "discrete": ["both", "pos", "neg"]}
+
+
+def split(n: int, train: float = TRAIN, val: float = VALIDATION) -> tuple[int, int, int]:
+    """Days of train, validation and test; shares below 1 are parts of n, others are counts."""
+    a = max(LEAST_SPLIT[0], math.floor(train * n) if train < 1 else int(train))
+    b = max(LEAST_SPLIT[1], math.floor(val * n) if val < 1 else int(val))
+    return a, b, n - a - b
+
+
+def eligible(n: int, finite: int, parts: tuple[int, int, int]) -> bool:
+    return finite >= LEAST_FINITE and n >= LEAST_DAYS and all(p >= least for p, least in zip(parts, LEAST_SPLIT, strict=True))
+
+
+def scores(x: np.ndarray, w: int = WINDOW) -> np.ndarray:
+    """Normal score of each value's rank among the last w finite ones; NaN where there is none."""
+    out, own = np.full(x.size, np.nan), np.flatnonzero(np.isfinite(x))
+    if own.size:
+        v = x[own]
+        seen = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(w - 1, np.inf), v]), w)
+        u = ((seen <= v[:, None]).sum(1) - 0.5) / np.minimum(np.arange(v.size) + 1, w)
+        names, at = np.unique(np.clip(u, 1e-6, 1 - 1e-6), return_inverse=True)
+        out[own] = np.array([NormalDist().inv_cdf(p) for p in names])[at]
+    return out
+
+
+def quantile(ordered: np.ndarray, p: float) -> float:
+    i = min(max(p, 0.0), 1.0) * (ordered.size - 1)
+    lo = math.floor(i)
+    return ordered[lo] * (1 - (i - lo)) + ordered[min(lo + 1, ordered.size - 1)] * (i - lo)
+
+
+def profile(x: np.ndarray) -> dict:
+    """Kind of a factor's distribution: discrete, symmetric or asymmetric."""
+    x = np.sort(x[np.isfinite(x)])
+    if not x.size:
+        return {"profile_kind": "discrete", "unique_ratio": 0.0, "max_freq_ratio": 0.0, "symmetry_score": np.nan}
+    centred = x - np.median(x)
+    cell = centred / GRID
+    counts = np.unique(np.sign(cell) * np.floor(np.abs(cell) + 0.5), return_counts=True)[1]
+    low, mid, high = (quantile(centred, p) for p in (0.1, 0.5, 0.9))
+    unique, most, skew = counts.size / x.size, counts.max() / x.size, abs((high + low) / 2 - mid) / max(1e-12, high - low)
+    kind = "discrete" if unique < DISCRETE or most > MOST_FREQUENT else "symmetric" if skew <= SYMMETRIC else "asymmetric"
+    return {"profile_kind": kind, "unique_ratio": unique, "max_freq_ratio": most, "symmetry_score": skew}
+
+
+def positions(z: np.ndarray, mode: str, polarity: int, theta, cap, most: float = MOST_LEVERAGE) -> np.ndarray:
+    """Raw positions: 0 within the threshold, then from 1 at it up to `most` at the cap."""
+    size = 1 + np.clip((np.abs(z) - theta) / (cap - theta), 0, 1) * (most - 1)
+    active = {"both": np.abs(z) > theta, "pos": z > theta, "neg": z < -theta}[mode]
+    return np.where(active, polarity * np.sign(z) * size, 0.0)
+
+
+def drawdown(gains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums of gains along the last axis, and how far they are below their peak (0 at least)."""
+    e = np.cumsum(gains, axis=-1)
+    return e, np.maximum(np.maximum.accumulate(e, axis=-1), 0) - e
+
+
+def ratio(days: float, energy, gain, squares):
+    return np.sqrt(days / energy) * (YEAR / days * gain) / np.sqrt(YEAR / days * squares)
+
+
+def search(x: np.ndarray, z: np.ndarray, y: np.ndarray, train: int, val: int) -> dict | None:
+    """The first candidate of the highest validation score, thresholds in order, then sides, then polarity."""
+    own = profile(x[:train])
+    size = np.sort(np.abs(z[:train][np.isfinite(z[:train])]))
+    if not size.size:
+        return None
+    cap = np.maximum(min(max(quantile(size, CAP[0]), CAP[1]), CAP[2]), THETAS + 1e-3)[:, None]
+    candidates = [(m, p) for m in SIDES[own["profile_kind"]] for p in (1, -1)]
+    align, r = min(RISK_DAYS, train), y[train : train + val]
+    score, scale = np.full((THETAS.size, len(candidates)), -np.inf), np.zeros((THETAS.size, len(candidates)))
+    for k, (mode, polarity) in enumerate(candidates):
+        b = positions(z[None, train - align : train + val], mode, polarity, THETAS[:, None], cap)
+        energy = (b[:, :align] ** 2).sum(1)
+        scale[:, k] = np.sqrt(align / np.where(energy > 1e-12, energy, np.inf))
+        held = scale[:, k, None] * b[:, align:]
+        dd = (drawdown(held * r)[1] ** 2).sum(1)
+        ok = (energy > 1e-12) & ((b[:, align:] != 0).sum(1) >= math.ceil(val / YEAR * LEAST_TRADES - 1e-12)) & ((held**2).sum(1) > 1e-12) & (np.sqrt(dd / val) > 1e-12)
+        score[ok, k] = ratio(val, (held[ok] ** 2).sum(1), (held[ok] * r).sum(1), dd[ok])
+    if not np.isfinite(score).any():
+        return None
+    t, k = np.unravel_index(np.argmax(score), score.shape)
+    theta, (mode, polarity) = THETAS[t], candidates[k]
+    ordered, p = np.sort(x[:train][np.isfinite(x[:train])]), NormalDist().cdf(theta)
+    raw = {"raw_threshold_low": quantile(ordered, 1 - p) if mode != "pos" else np.nan, "raw_threshold_high": quantile(ordered, p) if mode != "neg" else np.nan}
+    return {**own, "mode": mode, "polarity": float(polarity), "theta": theta, "z_cap": cap[t, 0], "c_scale": scale[t, k], "score": score[t, k], **raw}
+
+
+def segment(l: np.ndarray, y: np.ndarray) -> dict:
+    """Score, buy-and-hold score, end and drawdown of one segment, whose equity begins anew."""
+    days, dd, base = float(y.size), (drawdown(l * y)[1] ** 2).sum(), (drawdown(y)[1] ** 2).sum()
+    if not ((l * l).sum() > 1e-12 and dd > 1e-12):
+        return {"score": np.nan, "baseline_score": np.nan, "final_equity": np.nan, "dd_rms": np.nan, "trade_days": 0}
+    hold = ratio(days, days, y.sum(), base) if base > 1e-12 else np.nan
+    return {"score": ratio(days, (l * l).sum(), (l * y).sum(), dd), "baseline_score": hold, "final_equity": (l * y).sum(), "dd_rms": math.sqrt(dd / days), "trade_days": int((l != 0).sum())}
+
+
+SIZES = "code long, n long, n_finite long, n_train long, n_val long, n_test long, eligible int"
+_POLICY = "profile_kind string, symmetry_score double, unique_ratio double, max_freq_ratio double, mode string, polarity double, theta double, z_cap double, c_scale double"
+BEST = f"code long, {_POLICY}, score double, raw_threshold_low double, raw_threshold_high double"
+PATH = f"code long, ts_ms long, split string, factor_raw double, z double, {_POLICY}, b_raw double, leverage double, next_return double, equity double, drawdown double, active int, raw_threshold_low double, raw_threshold_high double"
+REPORT = "code long, split string, n long, first_ms long, last_ms long, score double, baseline_score double, final_equity double, dd_rms double, trade_days long"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _of_code(kind: str, w: int):
+    """A code's rows of one kind: sizes, best, path or report."""
+    schema = {"sizes": SIZES, "best": BEST, "path": PATH, "report": REPORT}[kind]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_ms")
+        code, ts, x, y = pdf.code.iloc[0], pdf.ts_ms.to_numpy(), pdf.x.to_numpy(float), pdf.y.to_numpy(float)
+        n, finite, parts = len(pdf), int(np.isfinite(x).sum()), split(len(pdf))
+        ok = eligible(n, finite, parts)
+        if kind == "sizes":
+            return pd.DataFrame([(code, n, finite, *parts, int(ok))], columns=_names(schema))
+        z = scores(x, w)
+        best = search(x, z, y, *parts[:2]) if ok else None
+        if best is None:
+            return pd.DataFrame({c: [] for c in _names(schema)})
+        if kind == "best":
+            return pd.DataFrame([{"code": code, **best}])[_names(schema)]
+        b = positions(z, best["mode"], best["polarity"], best["theta"], best["z_cap"])
+        l, names = best["c_scale"] * b, np.repeat(["train", "val", "test"], parts)
+        if kind == "report":
+            rows = [{"code": code, "split": s, "n": m, "first_ms": ts[names == s][0], "last_ms": ts[names == s][-1], **segment(l[names == s], y[names == s])} for s, m in zip(("train", "val", "test"), parts, strict=True)]
+            return pd.DataFrame(rows)[_names(schema)]
+        e, dd = drawdown(l * y)
+        own = {"code": code, "ts_ms": ts, "split": names, "factor_raw": x, "z": z, "b_raw": b, "leverage": l, "next_return": y, "equity": e, "drawdown": dd, "active": (b != 0).astype(int)}
+        return pd.DataFrame({**{k: v for k, v in best.items() if k != "score"}, **own}, index=range(n))[_names(schema)]
+
+    return run, schema
+
+
+def calendar(spark: SparkSession, sf_dir: str, factor: str = RETURNS, value: str = "r") -> DataFrame:
+    """(code, ts_ms, x, y): the next log return of every bar that has one, and the factor's value there."""
+    return run(spark, sf_dir, f"""SELECT c.code, c.ts_ms, f.x, c.y FROM (
+  SELECT code, ts_ms, ln(n / close) AS y FROM (SELECT code, ts_ms, close, lead(close) OVER (PARTITION BY code ORDER BY ts_ms) AS n FROM {{bars}}) WHERE close > 0 AND n > 0) c
+  LEFT JOIN (SELECT code, ts_ms, {value} AS x FROM ({factor})) f ON c.code = f.code AND c.ts_ms = f.ts_ms""")
+
+
+def over(days: DataFrame, kind: str, w: int = WINDOW) -> DataFrame:
+    """Rows of a kind (sizes, best, path, report) of every code of (code, ts_ms, x, y)."""
+    fn, schema = _of_code(kind, w)
+    return days.groupBy("code").applyInPandas(fn, schema)
+
+
+def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.when(~F.isnan(c), F.round(c, digits)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _query(kind: str, columns: list[str] | None = None, digits: int = 6, factor: str = RETURNS, value: str = "r"):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        done = _rounded(over(calendar(spark, sf_dir, factor, value), kind), digits)
+        return done.select(*columns) if columns else done
+
+    return query
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and the deepest drawdown of the whole path in every segment of every code."""
+    path = over(calendar(spark, sf_dir), "path")
+    return path.groupBy("code", "split").agg(F.count("*").alias("n"), F.round(F.sum(F.col("leverage") * F.col("next_return")), 4).alias("gain"), F.round(F.sum("next_return"), 4).alias("hold"), F.round(F.max("drawdown"), 4).alias("worst"))
+
+
+_SEARCH = ["code", "mode", "polarity", "theta", "c_scale", "score"]
+QUERIES = {
+    "leverage_eligible": _query("sizes"), "leverage_profile": _query("best", ["code", "profile_kind", "unique_ratio", "max_freq_ratio", "symmetry_score", "z_cap"]),
+    "leverage_search": _query("best", _SEARCH), "leverage_thresholds": _query("best", ["code", "mode", "theta", "raw_threshold_low", "raw_threshold_high"]),
+    "leverage_path": _query("path", digits=5), "leverage_report": _query("report", digits=4), "leverage_segments": segments,
+    "leverage_ar1_return": _query("best", _SEARCH, factor=ar1(), value="ar1_return_coeff"), "leverage_volume_ar_forecast": _query("best", _SEARCH, factor=volume_ar_forecast(), value="vol_ar1_pred_ratio"),
+}

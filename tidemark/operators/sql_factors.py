@@ -8,7 +8,6 @@ ignores are filtered before any lag.  Every text has one sort by code, shared by
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.calendar import in_session
@@ -38,13 +37,13 @@ def safe_corr(y: str, x: str, frame: str = "w") -> str:
 def ret_logvol_corr(w: int = 40) -> str:
     src = RETURNS.replace("close > 0", "close > 0 AND volume > 0")
     return f"""SELECT code, ts_ms, round(c, 6) AS ret_logvol_corr FROM (
-  SELECT code, ts_ms, {safe_corr('r', 'ln(volume)')} AS c, count(r) OVER w AS n FROM {src} WHERE r IS NOT NULL WINDOW {rows(w)}) WHERE n = {w}"""
+  SELECT code, ts_ms, {safe_corr('r', 'ln(volume)')} AS c, count(r) OVER w AS n FROM {src} WHERE r IS NOT NULL WINDOW {rows(w)}) WHERE n = {w} AND c IS NOT NULL"""
 
 
 def ar1(w: int = 40) -> str:
     return f"""SELECT code, ts_ms, round(phi, 6) AS ar1_return_coeff FROM (
   SELECT code, ts_ms, regr_slope(r, p) OVER w AS phi, count(p) OVER w AS n FROM (
-    SELECT code, ts_ms, r, lag(r) OVER (PARTITION BY code ORDER BY ts_ms) AS p FROM {RETURNS} WHERE r IS NOT NULL) WINDOW {rows(w - 1)}) WHERE n = {w - 1}"""
+    SELECT code, ts_ms, r, lag(r) OVER (PARTITION BY code ORDER BY ts_ms) AS p FROM {RETURNS} WHERE r IS NOT NULL) WINDOW {rows(w - 1)}) WHERE n = {w - 1} AND phi IS NOT NULL"""
 
 
 def _weighted(r_cap: float, floor: float) -> str:
@@ -65,17 +64,21 @@ def bayes_drift_logodds(w: int = 60, least: int = 20, r_cap: float = 0.2, floor:
       SELECT code, ts_ms, sum(g * r) OVER w AS a, sum(g) OVER w AS b, count(*) OVER w AS n FROM {_weighted(r_cap, floor)} WINDOW {rows(w)}) WHERE n >= {least}))"""
 
 
+def _positive(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN {x} ELSE 1e-12 END"
+
+
 def ls_info_gain(w: int = 30) -> str:
     n = w
     band = f"1.959963984540054e0 * sqrt(2e0 / {n - 1} + 2e0 / {n - 2})"
     return f"""SELECT code, ts_ms, round(g, 6) AS ig, round(g - {band}, 6) AS ig_lo, round(g + {band}, 6) AS ig_hi FROM (
-  SELECT code, ts_ms, ln(greatest(yy / {n - 1}, 1e-12) / greatest((yy - sxy * sxy / sxx) / {n - 2}, 1e-12)) AS g FROM (
+  SELECT code, ts_ms, ln({_positive(f"(yy / {n - 1})")} / {_positive(f"((yy - sxy * sxy / sxx) / {n - 2})")}) AS g FROM (
     SELECT code, ts_ms, regr_syy(r, p) OVER w AS yy, regr_sxx(r, p) OVER w AS sxx, regr_sxy(r, p) OVER w AS sxy, count(p) OVER w AS n FROM (
       SELECT code, ts_ms, r, lag(r) OVER (PARTITION BY code ORDER BY ts_ms) AS p FROM {RETURNS} WHERE r IS NOT NULL) WINDOW {rows(w)}) WHERE n = {n} AND sxx > 0)"""
 
 
 def volume_mgf(w: int = 256, t: float = 0.01) -> str:
-    return f"""SELECT code, ts_ms, round(avg(exp({t} * volume)) OVER w, 6) AS volume_mgf FROM {{bars}} WHERE volume > 0 WINDOW {rows(w)}"""
+    return f"""SELECT code, ts_ms, round(m, 6) AS volume_mgf FROM (SELECT code, ts_ms, avg(exp({t} * volume)) OVER w AS m FROM {{bars}} WHERE volume > 0 WINDOW {rows(w)}) WHERE m < 1e300"""
 
 
 def volume_autocorr(w: int = 128, lags=(1, 2, 4, 8)) -> str:
@@ -167,8 +170,8 @@ def latest(n: int = 3) -> str:
 
 
 def next_returns() -> str:
-    """The return from each bar to the next; the last bar and bars without a price have none."""
-    return "SELECT code, ts_ms, round(n / close - 1e0, 6) AS next_return FROM (SELECT code, ts_ms, close, lead(close) OVER (PARTITION BY code ORDER BY ts_ms) AS n FROM {bars}) WHERE close > 0 AND n > 0"
+    """The log return from each bar to the next; the last bar and bars without a price have none."""
+    return "SELECT code, ts_ms, round(ln(n / close), 6) AS next_return FROM (SELECT code, ts_ms, close, lead(close) OVER (PARTITION BY code ORDER BY ts_ms) AS n FROM {bars}) WHERE close > 0 AND n > 0"
 
 
 def rolling_profile(w: int = 250) -> str:
@@ -192,23 +195,13 @@ def _tokens(sql: str, dialect: str) -> str:
     return sql.replace("{list}", own["list"]).replace("{div}", own["div"])
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str, **shared: str) -> DataFrame:
-    """Evaluate a factor text over the views of a directory.
-
-    shared: texts of relations that the factor reads several times; each is evaluated once and kept.
-    """
+def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """Evaluate a factor text over the views of a directory."""
     sql = _tokens(sql, "spark")
-    used = {name: view(spark, sf_dir) for name, view in VIEWS.items() if "{" + name + "}" in sql}
-    for name, text in shared.items():
-        if "{" + name + "}" in sql:
-            used[name] = run(spark, sf_dir, text, **{k: v for k, v in shared.items() if k != name}).persist(StorageLevel.MEMORY_AND_DISK)
-    return spark.sql(sql, **used)
+    return spark.sql(sql, **{name: view(spark, sf_dir) for name, view in VIEWS.items() if "{" + name + "}" in sql})
 
 
-def check_sql(sql: str, **shared: str) -> str:
-    for _ in shared:
-        for name, text in shared.items():
-            sql = sql.replace("{" + name + "}", f"({text})")
+def check_sql(sql: str) -> str:
     sql = _tokens(sql, "check")
     for name, text in SQL.items():
         sql = sql.replace("{" + name + "}", text)

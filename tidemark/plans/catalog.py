@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import event_factors, kernel_factors, knn, leverage, slices, sql_factors
+from . import leverage_check
 
-_SQL = sql_factors.FACTORS | event_factors.FACTORS | leverage.FACTORS
+_SQL = sql_factors.FACTORS | event_factors.FACTORS
 
 
-def _of(sql: str, shared: dict[str, str] = leverage.SHARED) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: sql_factors.run(spark, sf_dir, sql, **shared)
+def _of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: sql_factors.run(spark, sf_dir, sql)
 
 
-QUERIES = {**{name: _of(sql) for name, sql in _SQL.items()}, **{name: _of(*on) for name, on in leverage.ON_FACTORS.items()}, **kernel_factors.QUERIES, **slices.QUERIES, "knn": knn.query}
-ORACLES = {**{name: sql_factors.check_sql(sql, **leverage.SHARED) for name, sql in _SQL.items()}, **{name: sql_factors.check_sql(sql, **shared) for name, (sql, shared) in leverage.ON_FACTORS.items()}, "knn": knn.SQL, "hawkes_intensity": kernel_factors.hawkes_sql(), **slices.ORACLES}
+QUERIES = {**{name: _of(sql) for name, sql in _SQL.items()}, **leverage.QUERIES, **kernel_factors.QUERIES, **slices.QUERIES, "knn": knn.query}
+ORACLES = {**{name: sql_factors.check_sql(sql) for name, sql in _SQL.items()}, **leverage_check.ORACLES, "knn": knn.SQL, "hawkes_intensity": kernel_factors.hawkes_sql(), **slices.ORACLES}

@@ -19,7 +19,7 @@ def summary(report: DataFrame, best: DataFrame, factor: str, window: int) -> Dat
     own = [f"max(CASE WHEN split = '{s}' THEN {c} END) AS {s}_{n}" for s in SPLITS for c, n in (("n", "size"), ("first_ms", "start_ms"), ("last_ms", "end_ms"), ("score", "score"), ("baseline_score", "baseline_score"))]
     own += [f"max(CASE WHEN split = 'val' THEN {c} END) AS val_{c}" for c in ("final_equity", "dd_rms", "trade_days")]
     wide = report.groupBy("code").agg(*map(F.expr, own))
-    rows = wide.join(best.select("code", "mode", "polarity", "theta", "c_scale"), "code")
+    rows = wide.join(best.select("code", "theta", "c_scale"), "code")
     return rows.select(F.lit(factor).alias("factor"), F.lit(window).alias("window"), *rows.columns)
 
 
