@@ -87,7 +87,7 @@ def test_haar_ssa_dmd():
 
 def test_oja_is_steady():
     r = np.full(300, 0.0005)
-    _, steady = k.pca_factors(r, 1000 + np.arange(300) % 50, (1000 + np.arange(300) % 50) * 10.0)
+    _, steady = k.pca_factors(r, np.full(300, 10.0), 1000 + np.arange(300) % 50, (1000 + np.arange(300) % 50) * 10.0)
     assert np.isnan(steady[:64]).all() and np.nanmean(steady[-100:]) > 0.95
 
 
@@ -121,11 +121,88 @@ def test_ppf_in_copula_matches():
 
 @pytest.mark.parametrize("name", sorted(kf.QUERIES))
 def test_passes_are_isolated_by_code(spark, name):
-    rows = kf.QUERIES[name](spark, "/root/testdata/sf0.001").toPandas()
+    rows = kf.QUERIES[name](spark, "/root/testdata/sf0.01").toPandas()
     assert len(rows) and np.isfinite(rows.value).all()
-    assert rows.groupby("topic").code.nunique().max() == 10
+    assert rows.groupby("topic").code.nunique().max() >= 10
 
 
 def test_short_and_bad_inputs():
     pdf = pd.DataFrame({"code": [1, 1], "ts_ms": [1, 2], "close": [0.0, -1.0], "high": [0.0, 0.0], "low": [0.0, 0.0], "volume": [0.0, 0.0], "turnover": [0.0, 0.0]})
-    assert len(kf.close_kernels(pdf)) == 0 and len(kf.range_kernels(pdf)) == 0
+    for fn in [*kf.KERNELS.values(), *kf.RANGE_KERNELS.values()]:
+        assert len(kf._kernel(fn)(pdf)) == 0 and len(kf._kernel(fn)(pdf.assign(close=[0.0, 2.0]))) == 0
+        two = kf._kernel(fn)(pdf.assign(close=[1.0, 2.0]))
+        assert len(two) == 0
+    empty = pd.DataFrame({"code": [1], "ts_ms": [1], "seq": [1], "bid": [1.0], "ask": [1.0], "ofi": [0], "ofi_strict": [0], "order_volume": [0]})
+    assert len(kf.granger_kernel(empty)) == 0 and len(kf.copula_kernel(empty)) == 0
+
+
+def plain_granger(y, x, w, p=2, q=2, least=16):
+    """Least squares a row at a time."""
+    out = np.full(y.size, np.nan)
+    for t in range(y.size):
+        n, i = min(t + 1, w), np.arange(max(p, q, t + 1 - w), t + 1)
+        if n < max(least, p + q + 4):
+            continue
+        own = np.column_stack([np.ones(i.size), y[i - 1], y[i - 2]])
+        full = np.column_stack([own, x[i - 1], x[i - 2]])
+        one, two = (((y[i] - a @ np.linalg.lstsq(a, y[i], rcond=None)[0]) ** 2).sum() for a in (own, full))
+        out[t] = k.f_survival((one - two) / q / (two / (n - p - q - 1)), q, n - p - q - 1)
+    return out
+
+
+def test_granger_equals_least_squares():
+    y, x = rng.standard_normal(300), rng.integers(0, 9, 300).astype(float)
+    _, p = k.granger(y, x, 60)
+    want = plain_granger(y, x, 60)
+    assert np.array_equal(np.isnan(p), np.isnan(want)) and np.allclose(p, want, atol=1e-9, equal_nan=True)
+    assert np.isnan(k.granger(y, np.zeros(300), 60)[0]).all()  # lags that say nothing leave the equations open
+
+
+def test_copula_equals_a_plain_one():
+    n, w, q = 70, 12, statistics.NormalDist().inv_cdf
+    ofi, volume, r = rng.integers(-3, 4, n).astype(float), rng.integers(0, 5, n).astype(float), rng.standard_normal(n)
+    z = []
+    for t in range(w - 1, n):
+        z.append([q(min(max(((v[t - w + 1 : t + 1] < v[t]).sum() + 0.5 * (v[t - w + 1 : t + 1] == v[t]).sum()) / w, 1e-6), 1 - 1e-6)) for v in (ofi, volume, r)])
+    got = k.copula(ofi, volume, r, w)
+    for t in range(2 * w - 2, n):
+        own = np.array(z[t - 2 * w + 2 : t - w + 2])
+        cov, mu = np.cov(own.T) + 1e-6 * np.eye(3), own.mean(0)
+        e = mu[2] + cov[2, :2] @ np.linalg.solve(cov[:2, :2], own[-1, :2] - mu[:2])
+        assert abs(got[t] - np.quantile(r[t - w + 1 : t + 1], statistics.NormalDist().cdf(e))) < 1e-9
+
+
+def test_flow_is_held_until_a_sample(monkeypatch):
+    seen = []
+    monkeypatch.setattr(k, "granger", lambda y, x, w: seen.append(x) or (np.full(y.size, 1.0), np.full(y.size, 1.0)))
+    monkeypatch.setattr(k, "copula", lambda a, b, r, w: seen.append((a, b)) or np.full(r.size, 1.0))
+    quotes = pd.DataFrame({"code": 1, "ts_ms": [1, 2, 3, 4, 5], "seq": 1, "bid": [1.0, 1.1, 0.0, 1.2, 1.3], "ask": [1.0, 1.1, 1.0, 1.2, 1.3], "ofi": [5, 1, 2, 3, 4], "ofi_strict": [5, 1, 2, 3, 4], "order_volume": [5, 1, 2, 3, 4]})
+    kf.granger_kernel(quotes)
+    kf.copula_kernel(quotes)
+    assert seen[0].tolist() == [6.0, 5.0, 4.0]  # before the first quote, and over the bad one
+    assert seen[1][0].tolist() == seen[1][1].tolist() == [6.0, 2.0, 3.0, 4.0]
+
+
+def test_ssa_and_dmd_equal_a_window_alone():
+    close = np.exp(np.cumsum(rng.standard_normal(90) * 0.01))
+    slope, share = k.ssa(close)
+    x = np.log(close[17 : 17 + 40])
+    h = np.array([x[i : i + 31] for i in range(10)])
+    u, s, v = np.linalg.svd(h, full_matrices=False)
+    low = (u[:, :2] * s[:2]) @ v[:2]
+    line = [np.mean([low[i, p - i] for i in range(10) if 0 <= p - i < 31]) for p in range(35, 40)]
+    assert abs(slope[17] - np.polyfit(np.arange(5), line, 1)[0]) < 1e-9 and abs(share[17] - (s[:2] ** 2).sum() / (s**2).sum()) < 1e-9
+    h = np.array([x[i : i + 37] for i in range(4)])
+    u, s, v = np.linalg.svd(h[:, :-1], full_matrices=False)
+    a = u[:, :2].T @ h[:, 1:] @ v[:2].T @ np.diag(1 / s[:2])
+    assert abs(k.dmd_growth(close)[17] - np.log(np.abs(np.linalg.eigvals(a)).max())) < 1e-9
+
+
+def test_angular_momentum_reads_raw_features():
+    r, close = rng.standard_normal(80) * 0.01, 10 + rng.uniform(size=80)
+    volume, turnover = rng.integers(1, 99, 80).astype(float), np.zeros(80)  # without turnover the close stands in
+    x = np.column_stack([r, np.log1p(volume), np.log(close)])
+    w = [v.copy() for _, v in k.oja(x, 2)]
+    u = [w[t] @ x[t] for t in range(80)]
+    got = k.pca_factors(r, close, volume, turnover)[0]
+    assert np.isnan(got[:64]).all() and abs(got[70] - abs(u[69][0] * u[70][1] - u[69][1] * u[70][0])) < 1e-12

@@ -17,6 +17,9 @@ _ARRIVAL = "row_number() OVER (PARTITION BY code ORDER BY ts_ms, src, seq) AS ar
 PRICES = f"""SELECT code, {_ARRIVAL}, close, volume FROM (
   SELECT code, ts_ms, seq, 0 AS src, (bid + ask) / 2e0 AS close, 0 AS volume FROM {{quotes}} WHERE bid > 0 AND ask > 0
   UNION ALL SELECT code, ts_ms, seq, 1, price, volume FROM {{trades}} UNION ALL SELECT code, ts_ms, seq, 2, price, volume FROM {{orders}}) WHERE close > 0"""
+#: Mids as they are and trades: what the symbolic dynamics read.
+MIDS_AND_TRADES = f"""SELECT code, {_ARRIVAL}, close FROM (
+  SELECT code, ts_ms, seq, 0 AS src, (bid + ask) / 2e0 AS close FROM {{quotes}} UNION ALL SELECT code, ts_ms, seq, 1, price FROM {{trades}}) WHERE close > 0"""
 VOLUMES = f"""SELECT code, {_ARRIVAL}, CAST(volume AS DOUBLE) AS volume FROM (
   SELECT code, ts_ms, seq, 0 AS src, volume FROM {{quotes}} UNION ALL SELECT code, ts_ms, seq, 1, volume FROM {{trades}} UNION ALL SELECT code, ts_ms, seq, 2, volume FROM {{orders}})"""
 

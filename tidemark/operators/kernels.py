@@ -45,36 +45,38 @@ def hawkes(events: np.ndarray, mu=0.1, alpha=0.3, beta=1.2, dt=1.0) -> np.ndarra
 
 def hmm_uptrend(r: np.ndarray, mu=(0.006, -0.006), sd=(0.010, 0.012), stay=(0.9, 0.9), start=0.5) -> np.ndarray:
     """Filtered probability of the first of two Gaussian states (adopted: forward filter from the start)."""
+    edge = np.log(sd[0] / sd[1]) + 0.5 * (((r - mu[0]) / sd[0]) ** 2 - ((r - mu[1]) / sd[1]) ** 2)
     out, p = np.empty(r.size), start
-    for i, x in enumerate(r):
+    for i, e in enumerate(edge.tolist()):
         up = p * stay[0] + (1 - p) * (1 - stay[1]) if i else p
-        a = np.log(max(up, 1e-300)) - np.log(sd[0]) - 0.5 * ((x - mu[0]) / sd[0]) ** 2
-        b = np.log(max(1 - up, 1e-300)) - np.log(sd[1]) - 0.5 * ((x - mu[1]) / sd[1]) ** 2
-        p = 1 / (1 + np.exp(np.clip(b - a, -700, 700)))
+        p = 1 / (1 + math.exp(min(max(e + math.log(max(1 - up, 1e-300) / max(up, 1e-300)), -700), 700)))
         out[i] = p
     return out
 
 
 def kalman_z(close, high, low, w=60, cr=0.1, cb=0.01, k=5) -> np.ndarray:
-    """Local linear trend on the log close; forecast k bars on over its deviation."""
-    n = close.size
-    y, out = np.log(close), np.full(n, NAN)
+    """Local linear trend on the log close: the forecast k bars on, over its deviation.
+
+    The state begins at the first close with the identity as covariance and steps with the first bar at once; the noise
+    is the rolling mean of the range variance, of bars without a range 0.
+    """
+    y, out = np.log(close), np.full(close.size, NAN)
     var = np.where((high > 0) & (low > 0), np.log(np.maximum(high, 1e-300) / np.maximum(low, 1e-300)) ** 2 / (4 * math.log(2)), 0.0)
-    total, x, cov = np.cumsum(var), None, np.eye(2)
-    f = np.array([[1.0, 1.0], [0.0, 1.0]])
-    for t in range(n):
-        m = (total[t] - (total[t - w] if t >= w else 0.0)) / min(t + 1, w)
-        noise, slope = max(cr * m, 1e-12), max(cb * m, 1e-12)
-        if x is None:
-            x, cov = np.array([y[t], 0.0]), np.diag([noise, slope])
-        else:
-            x, cov = f @ x, f @ cov @ f.T + np.diag([0.0, slope])
-            gain = cov[:, 0] / (cov[0, 0] + noise)
-            x = x + gain * (y[t] - x[0])
-            keep = np.eye(2) - np.outer(gain, [1.0, 0.0])
-            cov = keep @ cov @ keep.T + np.outer(gain, gain) * noise
+    total = np.concatenate([[0.0], np.cumsum(var)])
+    level, slope, a, b, c = (y[0] if y.size else 0.0), 0.0, 1.0, 0.0, 1.0
+    for t, x in enumerate(y.tolist()):
+        m = (total[t + 1] - total[max(0, t + 1 - w)]) / min(t + 1, w)
+        noise, drift = cr * m, cb * m
+        level, a, b, c = level + slope, a + 2 * b + c, b + c, c + drift
+        s = a + noise
+        if s > 1e-18:
+            g, h, gap = a / s, b / s, x - level
+            level, slope = level + g * gap, slope + h * gap
+            # Joseph form of the update
+            a, b, c = (1 - g) ** 2 * a + g * g * noise, (1 - g) * (b - h * a) + g * h * noise, c - 2 * h * b + h * h * a + h * h * noise
         if t >= w - 1:
-            out[t] = np.clip((x[0] + k * x[1] - y[t]) / math.sqrt(cov[0, 0] + noise), -50, 50)
+            far = a + 2 * k * b + k * k * c + drift * (k - 1) * k * (2 * k - 1) / 6 + noise
+            out[t] = min(max((level + k * slope - x) / math.sqrt(far), -50), 50) if far > 1e-18 else 0.0
     return out
 
 
@@ -164,18 +166,19 @@ def oja(x: np.ndarray, k: int, rate=0.05, warmup=64):
             for j in range(k):
                 w[j] += rate * y[j] * (c - y[: j + 1] @ w[: j + 1])
                 w[j] /= max(np.linalg.norm(w[j]), 1e-12)
-        yield t, mean, w
+        yield t, w
 
 
-def pca_factors(r, volume, turnover, rate=0.05, warmup=64) -> tuple[np.ndarray, np.ndarray]:
+def pca_factors(r, close, volume, turnover, rate=0.05, warmup=64) -> tuple[np.ndarray, np.ndarray]:
     """Angular momentum in the plane of the first two components; steadiness of the first."""
-    vwap = np.where(volume > 0, turnover / np.maximum(volume, 1e-12), 1.0)
-    x = np.column_stack([r, np.log1p(volume), np.log(np.maximum(vwap, 1e-12))])
+    traded = (volume > 0) & (turnover > 0)
+    vwap = np.where(traded, turnover / np.where(traded, volume, 1), close)
+    x = np.column_stack([r, np.log1p(volume), np.log(vwap)])
     momentum, steady = np.full(len(x), NAN), np.full(len(x), NAN)
     uv = first = None
-    for t, mean, w in oja(x, 2, rate, warmup):
+    for t, w in oja(x, 2, rate, warmup):
         if t >= warmup - 1:
-            now = w @ (x[t] - mean)
+            now = w @ x[t]
             if uv is not None:
                 momentum[t] = abs(uv[0] * now[1] - uv[1] * now[0])
                 steady[t] = abs(w[0] @ first) / max(np.linalg.norm(w[0]) * np.linalg.norm(first), 1e-12)
@@ -185,13 +188,14 @@ def pca_factors(r, volume, turnover, rate=0.05, warmup=64) -> tuple[np.ndarray,
 
 def symbolic(r: np.ndarray, w=256, k=6, edge=0.1) -> np.ndarray:
     """Leading eigenvalue of the window's first-order transition matrix over equal bins."""
+    if r.size < w:
+        return np.empty(0)
     s = np.clip(((r + edge) / (2 * edge / k)).astype(int), 0, k - 1)
-    out = []
-    for x in windows(s, w).astype(int):
-        m = np.bincount(x[:-1] * k + x[1:], minlength=k * k).reshape(k, k).astype(float)
-        m /= np.maximum(m.sum(1, keepdims=True), 1)
-        out.append(np.abs(np.linalg.eigvals(m)).max())
-    return np.array(out)
+    seen = np.zeros((r.size, k * k))
+    seen[np.arange(1, r.size), s[:-1] * k + s[1:]] = 1
+    total = np.cumsum(seen, axis=0)
+    m = (total[w - 1 :] - total[: r.size - w + 1]).reshape(-1, k, k)  # the window's first row closes no transition of it
+    return np.abs(np.linalg.eigvals(m / np.maximum(m.sum(2, keepdims=True), 1))).max(1)
 
 
 def memory_kernel(r: np.ndarray, w=128, lags=50, alpha=0.6) -> np.ndarray:
@@ -211,18 +215,18 @@ def wavelet_energy(price: np.ndarray, w=128, levels=6, from_level=4) -> np.ndarr
     lp = np.log(price)
     smooth, energy = np.diff(lp), []
     for j in range(levels):
-        taps = np.concatenate([[i] for i in range(8)]).ravel() * 2**j
+        taps = np.arange(8) * 2**j
         pad = np.concatenate([np.zeros(taps[-1]), smooth])
         shifted = np.stack([pad[taps[-1] - t : taps[-1] - t + smooth.size] for t in taps])
         energy.append(np.cumsum(np.concatenate([[0.0], (h @ shifted) ** 2])))
         smooth = g @ shifted
     out = np.full(price.size, NAN)
     e = np.array([c[w:] - c[:-w] for c in energy]) if price.size > w else np.empty((levels, 0))
-    total, sign = e.sum(0), 1.0
-    for i in range(e.shape[1]):
-        move = np.sign(lp[i + w] - lp[i])
-        sign = move or sign
-        out[i + w] = sign * min(max(e[from_level - 1 :, i].sum() / total[i], 0.0), 1.0) if total[i] > 0 else 1.0
+    total = e.sum(0)
+    move = lp[w:] - lp[: max(0, lp.size - w)]
+    last = np.maximum.accumulate(np.where(np.abs(move) > 1e-12, np.arange(move.size), -1))  # a still window keeps the sign before
+    sign = np.where(last >= 0, np.sign(move[np.maximum(last, 0)]), 1.0) if move.size else move
+    out[w:] = np.where(total > 0, sign * np.clip(e[from_level - 1 :].sum(0) / np.where(total > 0, total, 1), 0, 1), 1.0)
     return out
 
 
@@ -238,30 +242,27 @@ def haar_trend(close: np.ndarray, w=32, levels=2) -> np.ndarray:
 
 def ssa(close: np.ndarray, n=40, lag=10, rank=2, tail=5) -> tuple[np.ndarray, np.ndarray]:
     """Slope of the last points of the rank-r reconstruction, and the rank's energy share."""
-    slopes, shares = [], []
+    x = np.log(windows(close, n))
+    if not len(x):
+        return np.empty(0), np.empty(0)
+    wide = n - lag + 1
+    u, s, v = np.linalg.svd(np.lib.stride_tricks.sliding_window_view(x, wide, axis=1), full_matrices=False)
+    low = (u[:, :, :rank] * s[:, None, :rank]) @ v[:, :rank]
+    line = np.stack([np.mean([low[:, i, p - i] for i in range(max(0, p - wide + 1), min(lag, p + 1))], axis=0) for p in range(n - tail, n)], axis=1)
     t = np.arange(tail) - (tail - 1) / 2
-    for x in np.log(windows(close, n)):
-        h = windows(x, n - lag + 1)
-        u, s, v = np.linalg.svd(h, full_matrices=False)
-        low = (u[:, :rank] * s[:rank]) @ v[:rank]
-        flipped = low[::-1]
-        line = np.array([np.trace(flipped, k) / np.count_nonzero(np.eye(lag, n - lag + 1, k)) for k in range(n - lag - tail + 1, n - lag + 1)])
-        slopes.append((line * t).sum() / (t * t).sum())
-        shares.append((s[:rank] ** 2).sum() / max((s**2).sum(), 1e-300))
-    return np.array(slopes), np.array(shares)
+    return line @ t / (t * t).sum(), (s[:, :rank] ** 2).sum(1) / np.maximum((s**2).sum(1), 1e-300)
 
 
 def dmd_growth(close: np.ndarray, w=40, m=4, rank=2) -> np.ndarray:
     """Growth rate of the leading mode of delay-embedded log closes."""
-    out = []
-    for x in np.log(windows(close, w)):
-        h = windows(x, w - m + 1)
-        a, b = h[:, :-1], h[:, 1:]
-        u, s, v = np.linalg.svd(a, full_matrices=False)
-        u, s, v = u[:, :rank], np.maximum(s[:rank], 1e-12), v[:rank]
-        lead = np.linalg.eigvals(u.T @ b @ v.T / s)
-        out.append(np.log(max(np.abs(lead).max(), 1e-300)))
-    return np.array(out)
+    x = np.log(windows(close, w))
+    if not len(x):
+        return np.empty(0)
+    h = np.lib.stride_tricks.sliding_window_view(x, w - m + 1, axis=1)
+    u, s, v = np.linalg.svd(h[:, :, :-1], full_matrices=False)
+    u, s, v = u[:, :, :rank], np.maximum(s[:, :rank], 1e-12), v[:, :rank]
+    lead = np.linalg.eigvals(u.transpose(0, 2, 1) @ h[:, :, 1:] @ v.transpose(0, 2, 1) / s[:, None, :])
+    return np.log(np.maximum(np.abs(lead).max(1), 1e-300))
 
 
 def bma_drift(r: np.ndarray, w=40, alpha=0.1) -> np.ndarray:
@@ -309,47 +310,61 @@ def _fraction(x: float, a: float, b: float) -> float:
 
 
 def granger(y: np.ndarray, x: np.ndarray, w=240, p=2, q=2, least=16, cap=20.0) -> tuple[np.ndarray, np.ndarray]:
-    """Strength and p-value of x's lags for y in rolling least squares; n counts y's window."""
-    strength, pval = np.full(y.size, NAN), np.full(y.size, NAN)
-    top = max(p, q)
-    for t in range(y.size):
-        n = min(t + 1, w)
-        lo = max(top, t + 1 - w)
-        if n < max(least, p + q + 4) or t + 1 - lo < p + q + 2:
-            continue
-        i = np.arange(lo, t + 1)
-        own = np.column_stack([np.ones(i.size), *(y[i - k] for k in range(1, p + 1))])
-        full = np.column_stack([own, *(x[i - k] for k in range(1, q + 1))])
-        rss = []
-        for a in (own, full):
-            beta, _, rank, _ = np.linalg.lstsq(a, y[i], rcond=None)
-            rss.append(((y[i] - a @ beta) ** 2).sum() if rank == a.shape[1] else NAN)
-        df = max(1, n - (p + q + 1))
-        f = max(rss[0] - rss[1], 0.0) / max(1, q) / max(rss[1] / df, 1e-18)
-        if np.isfinite(f):
-            pval[t] = min(max(f_survival(f, q, df), 0.0), 1.0)
-            strength[t] = min(-math.log10(max(pval[t], 1e-300)), cap)
+    """Strength and p-value of x's lags for y in rolling least squares; n counts y's window.
+
+    The normal equations of all windows are solved side by side; rows before the first full set of lags weigh nothing.
+    """
+    strength, pval, top = np.full(y.size, NAN), np.full(y.size, NAN), max(p, q)
+    if y.size <= top:
+        return strength, pval
+    lag = lambda v, k: np.concatenate([np.zeros(k), v[: v.size - k]])
+    rows = np.column_stack([np.ones(y.size), *(lag(y, k) for k in range(1, p + 1)), *(lag(x, k) for k in range(1, q + 1)), y])
+    rows[:top] = 0
+    padded = np.concatenate([np.zeros((w - 1, rows.shape[1])), rows])
+    for lo in range(0, y.size, 2048):
+        own = np.lib.stride_tricks.sliding_window_view(padded[lo : lo + 2048 + w - 1], w, axis=0)[: y.size - lo]
+        gram = own @ own.transpose(0, 2, 1)
+        rss = [_residual(gram, m) for m in (p + 1, p + q + 1)]
+        for t in range(lo, lo + len(own)):
+            n = min(t + 1, w)
+            df, one, two = n - (p + q + 1), rss[0][t - lo], rss[1][t - lo]
+            if n < max(least, p + q + 4) or df <= 0 or t + 1 - max(top, t + 1 - w) < p + q + 2 or not math.isfinite(one + two):
+                continue
+            den = two / df
+            f = max(one - two, 0.0) / max(1, q) / (den if den > 0 else 1e-18)
+            pval[t] = min(max(f_survival(f, q, df), 0.0), 1.0) if math.isfinite(f) else 0.0
+            strength[t] = min(-math.log10(max(pval[t], 2.2250738585072014e-308)), cap)
     return strength, pval
 
 
+def _residual(gram: np.ndarray, m: int) -> np.ndarray:
+    """Residual sums of the last column on the first m of Gram matrices; NaN where these depend on one another."""
+    scale = np.sqrt(np.maximum(np.diagonal(gram, axis1=1, axis2=2), 1e-300))
+    unit = gram / scale[:, :, None] / scale[:, None, :]
+    a, b, out = unit[:, :m, :m], unit[:, :m, -1], np.full(len(gram), NAN)
+    ok = np.linalg.eigvalsh(a)[:, 0] > 1e-10
+    if ok.any():
+        out[ok] = np.maximum(gram[ok, -1, -1] * (1 - (b[ok] * np.linalg.solve(a[ok], b[ok][:, :, None])[:, :, 0]).sum(1)), 0)
+    return out
+
+
 def copula(ofi, volume, r, w=30, reg=1e-6) -> np.ndarray:
     """Conditional mean of the return score given order-flow scores, as a return of the window."""
-    n, out = r.size, np.full(r.size, NAN)
     from statistics import NormalDist
 
-    quantile = NormalDist().inv_cdf
-    scores = []
-    for t in range(w - 1, n):
-        row = []
-        for v in (ofi, volume, r):
-            x = v[t - w + 1 : t + 1]
-            u = ((x < v[t]).sum() + 0.5 * (x == v[t]).sum()) / w
-            row.append(quantile(min(max(u, 1e-6), 1 - 1e-6)))
-        scores.append(row)
-        if len(scores) >= w:
-            z = np.array(scores[-w:])
-            cov = np.cov(z.T) + reg * np.eye(3)
-            mu = z.mean(0)
-            e = mu[2] + cov[2, :2] @ np.linalg.solve(cov[:2, :2], np.array(row[:2]) - mu[:2])
-            out[t] = np.quantile(r[t - w + 1 : t + 1], float(_phi(e)))
+    out = np.full(r.size, NAN)
+    if r.size < 2 * w - 1:
+        return out
+    cells = np.array([NormalDist().inv_cdf(min(max(k / (2 * w), 1e-6), 1 - 1e-6)) for k in range(2 * w + 1)])
+    x = [windows(np.asarray(v, float), w) for v in (ofi, volume, r)]
+    z = np.column_stack([cells[2 * (v < v[:, -1:]).sum(1) + (v == v[:, -1:]).sum(1)] for v in x])
+    own = np.lib.stride_tricks.sliding_window_view(z, w, axis=0)
+    mu = own.mean(2)
+    c = own - mu[:, :, None]
+    cov = c @ c.transpose(0, 2, 1) / (w - 1) + reg * np.eye(3)
+    weight = np.linalg.solve(cov[:, :2, :2], (z[w - 1 :, :2] - mu[:, :2])[:, :, None])[:, :, 0]
+    at = _phi(mu[:, 2] + (cov[:, 2, :2] * weight).sum(1)) * (w - 1)
+    ordered, lo = np.sort(x[2][w - 1 :], axis=1), np.minimum(np.floor(at).astype(int), w - 2)
+    pick = lambda i: np.take_along_axis(ordered, i[:, None], 1)[:, 0]
+    out[2 * w - 2 :] = pick(lo) + (at - lo) * (pick(lo + 1) - pick(lo))
     return out

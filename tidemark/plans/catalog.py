@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import event_factors, kernel_factors, knn, leverage, slices, sql_factors
-from . import leverage_check
+from . import kernel_check, leverage_check
 
 _SQL = sql_factors.FACTORS | event_factors.FACTORS
 
@@ -17,4 +17,4 @@ def _of(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES = {**{name: _of(sql) for name, sql in _SQL.items()}, **leverage.QUERIES, **kernel_factors.QUERIES, **slices.QUERIES, "knn": knn.query}
-ORACLES = {**{name: sql_factors.check_sql(sql) for name, sql in _SQL.items()}, **leverage_check.ORACLES, "knn": knn.SQL, "hawkes_intensity": kernel_factors.hawkes_sql(), **slices.ORACLES}
+ORACLES = {**{name: sql_factors.check_sql(sql) for name, sql in _SQL.items()}, **leverage_check.ORACLES, **kernel_check.ORACLES, "knn": knn.SQL, "hawkes_intensity": kernel_factors.hawkes_sql(), **slices.ORACLES}

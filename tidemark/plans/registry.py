@@ -9,18 +9,18 @@ from . import catalog
 
 # fixed values: the keys and topics of the bindings; then the query and, where it holds several, its column
 BINDINGS = {
-    "low_freq_return": ("kline/ret_lowfreq_mu10", "close_factors", None),
+    "low_freq_return": ("kline/ret_lowfreq_mu10", "low_freq_return", None),
     "ar1_return": ("kline/ar1_return_coeff", "ar1_return", "ar1_return_coeff"),
-    "high_volume_remaining": ("kline/vol_high_remaining", "close_factors", None),
+    "high_volume_remaining": ("kline/vol_high_remaining", "high_volume_remaining", None),
     "volume_ar_forecast": ("kline/vol_ar1_pred_ratio", "volume_ar_forecast", "vol_ar1_pred_ratio"),
     "volume_price_structure_corr": ("kline/ret_logvol_corr", "ret_logvol_corr", "ret_logvol_corr"),
-    "volume_price_structure_pca1": ("kline/pv_pca1_ret_loading", "range_factors", None),
-    "kalman_forecast_z": ("kline/kalman_forecast_z", "range_factors", None),
+    "volume_price_structure_pca1": ("kline/pv_pca1_ret_loading", "volume_price_pca1", None),
+    "kalman_forecast_z": ("kline/kalman_forecast_z", "kalman_forecast_z", None),
     "wls_drift_z": ("kline/wls_drift_z", "wls_drift_z", "wls_drift_z"),
-    "hmm2_logodds": ("kline/hmm2_logodds", "close_factors", None),
+    "hmm2_logodds": ("kline/hmm2_logodds", "hmm2_logodds", None),
     "bayes_drift_logodds": ("kline/bayes_drift_logodds", "bayes_drift_logodds", "bayes_drift_logodds"),
-    "wavelet_trend_energy": ("wave_trend/energy_ratio", "close_factors", None),
-    "haar_wavelet_trend": ("kline_new/haar_trend_energy", "close_factors", None),
+    "wavelet_trend_energy": ("wave_trend/energy_ratio", "wavelet_trend_energy", None),
+    "haar_wavelet_trend": ("kline_new/haar_trend_energy", "haar_wavelet_trend", None),
 }
 
 
