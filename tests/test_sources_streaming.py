@@ -22,6 +22,9 @@ def test_parquet_discovery(spark, tmp_path):
     spark.createDataFrame([(20240102, 1, 1050, 1100, 1000, 1075, 300, 50)], ["9", "13", "3000002", "3000003", "3000004", "3000005", "3000008", "3000009"]).write.parquet(str(tmp_path / "a"))
     r = kline.read_parquet(spark, str(tmp_path / "a"), first_day=20240101).first()
     assert (r.code, r.open, r.close, r.volume, r.turnover) == ("1", 10.5, 10.75, 3.0, 5.0)
+    spark.createDataFrame([("x", 20240102, 1.5, 160, 300.0, 50.0)], "code string, date int, close double, high long, volume double, amount double").write.parquet(str(tmp_path / "c"))
+    r = kline.read_parquet(spark, str(tmp_path / "c")).first()
+    assert (r.high, r.low, r.close, r.volume, r.turnover) == (1.6, 1.5, 1.5, 3.0, 5.0)  # each price by its own type, amounts always
     spark.createDataFrame([("x", 1.5, None)], "Date string, CLOSE double, high double").write.parquet(str(tmp_path / "b"))
     assert kline.discover(["Date", "CLOSE"]) == {"date": "Date", "close": "CLOSE"}
     with pytest.raises(ValueError):
@@ -32,7 +35,7 @@ def test_normalise(spark):
     raw = spark.createDataFrame([(1, 34200, 7, 3, 101500, 20, 0, "B", 5, 6), (1234567, 34201, 8, 3, 101600, 0, 30, "S", 9, 0)], "security_id long, time long, seq long, channel long, price long, quantity long, order_quantity long, side string, buy_no long, sell_no long")
     a, b = normalise.ticks(raw).orderBy("main_seq").collect()
     assert (a.instrument_id, a.data_time_ms, a.kind, a.price, a.side, a.volume, a.order_id) == ("000001", 34200000, "Trade", 10.15, 1, 20, None)
-    assert (b.instrument_id, b.kind, b.side, b.volume, b.order_id) == ("1234567", "Order", -1, 30, (3 << 32) | 9)
+    assert (b.instrument_id, b.kind, b.side, b.volume, b.order_id) == ("1234567", "Order", -1, 0, (3 << 32) | 9)
 
 
 def test_bus(spark):

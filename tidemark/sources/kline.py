@@ -52,13 +52,14 @@ def discover(columns: list[str]) -> dict[str, str]:
 
 
 def read_parquet(spark: SparkSession, path: str, codes: list[str] | None = None, first_day: int | None = None, last_day: int | None = None) -> DataFrame:
-    """Bars of a Parquet path; whole-number prices are hundredths, quantities hundredths of the unit, amounts tenths.
+    """Bars of a Parquet path; whole-number prices are hundredths, each by its own column; quantities are taken times 0.01 and
+    amounts times 0.1, whatever the type.
 
     Only the resolved columns are read, and code and whole-number date ranges reach the scan.
     """
     raw = spark.read.parquet(path)
     own = discover(raw.columns)
-    whole = isinstance(raw.schema[own["close"]].dataType, T.IntegralType)
+    whole = lambda n: isinstance(raw.schema[own[n]].dataType, T.IntegralType)
     date = F.col(f"`{own['date']}`")
     if codes and "code" in own:
         raw = raw.filter(F.col(f"`{own['code']}`").cast("string").isin(codes))
@@ -66,8 +67,8 @@ def read_parquet(spark: SparkSession, path: str, codes: list[str] | None = None,
         raw = raw.filter(date >= first_day)
     if last_day is not None:
         raw = raw.filter(date <= last_day)
-    price = lambda n: (F.col(f"`{own[n]}`") / (100 if whole else 1)).cast("double")
+    price = lambda n: (F.col(f"`{own[n]}`") / (100 if whole(n) else 1)).cast("double")
     cols = [F.coalesce(price(n), price("close")).alias(n) if n in own else price("close").alias(n) for n in ("open", "high", "low")]
     day = F.to_timestamp(F.concat(date.cast("string"), F.lit(" 15")), "yyyyMMdd HH") if isinstance(raw.schema[own["date"]].dataType, T.IntegralType) else date.cast("timestamp")
     amount = lambda n, k: (F.col(f"`{own[n]}`") * k).cast("double") if n in own else F.lit(0.0)
-    return raw.select(F.col(f"`{own['code']}`").cast("string").alias("code") if "code" in own else F.lit("").alias("code"), F.unix_millis(day).alias("ts_ms"), *cols, price("close").alias("close"), amount("volume", 0.01 if whole else 1).alias("volume"), amount("turnover", 0.1 if whole else 1).alias("turnover")).filter("close is not null")
+    return raw.select(F.col(f"`{own['code']}`").cast("string").alias("code") if "code" in own else F.lit("").alias("code"), F.unix_millis(day).alias("ts_ms"), *cols, price("close").alias("close"), amount("volume", 0.01).alias("volume"), amount("turnover", 0.1).alias("turnover")).filter("close is not null")

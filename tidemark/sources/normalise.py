@@ -29,11 +29,12 @@ def order_number(channel: Column, buy_no: Column) -> Column:
 
 
 def ticks(raw: DataFrame) -> DataFrame:
-    """raw: security_id, time, seq, channel, price, quantity, order_quantity, side, buy_no, sell_no.  A row with a traded quantity is a trade, else an order."""
+    """raw: security_id, time, seq, channel, price, quantity, side, buy_no, sell_no.  A row with a traded quantity is a trade, else
+    an order; price and volume are those of the traded columns for both, so an order's volume is never positive."""
     trade = F.col("quantity") > 0
     return raw.select(
         code_text(F.col("security_id")).alias("instrument_id"), (F.col("time").cast("long") * 1000).alias("data_time_ms"), F.col("seq").cast("long").alias("main_seq"), F.when(trade, "Trade").otherwise("Order").alias("kind"),
-        (F.col("price") / PRICE_UNIT).alias("price"), side(F.col("side")).alias("side"), F.when(trade, F.col("quantity")).otherwise(F.col("order_quantity")).cast("long").alias("volume"),
+        (F.col("price") / PRICE_UNIT).alias("price"), side(F.col("side")).alias("side"), F.col("quantity").cast("long").alias("volume"),
         F.when(trade, F.col("buy_no").cast("long")).alias("bid_no"), F.when(trade, F.col("sell_no").cast("long")).alias("ask_no"), F.when(~trade, order_number(F.col("channel"), F.col("buy_no"))).alias("order_id"))
 
 
