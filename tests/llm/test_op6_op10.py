@@ -63,6 +63,32 @@ def test_quality_edges(spark):
     assert p6.judge(docs.limit(0), []).count() == 0
 
 
+def test_verdicts_are_the_list_read_in_order(spark):
+    """Every row against its rules one by one, from statistics made here."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rules = p6.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    assert rules
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in p6.judge(docs, rules, "doc_id").collect():
+        cols = {c: np.array([v]) for c, v in zip(p6.STATS, p6.measure(texts[r.doc_id]), strict=True)}
+        bad = plain(texts[r.doc_id])[0] < 50 or 100 * plain(texts[r.doc_id])[4] > 50 * plain(texts[r.doc_id])[0]
+        for rule in rules:
+            if not bad:
+                bad = all((p6.features()[f][1](cols)[0] > t) == up for f, up, t in rule)
+        assert r.kept == (not bad)
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark, monkeypatch):
+    text = " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(i % 4, f"{text} {i % 8}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (2, 0), (3, 1), (3, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(p6, "learn", lambda x, y: seen.append((x, y)) or [])
+    p6.fit(docs, labels, rows=6)
+    p6.fit(docs.repartition(7), labels.repartition(5), rows=6)
+    assert len(seen[0][1]) == 5 and np.array_equal(seen[0][0], seen[1][0]) and np.array_equal(seen[0][1], seen[1][1])  # contradicting labels both stay
+
+
 def counter():
     return p10._counter(tokenizer_path())
 
@@ -81,6 +107,22 @@ def test_tree_equals_recount(text, edits):
         assert tree.chars == len(text)
 
 
+def depth(root):
+    return 0 if root is None else 1 + max(depth(root.left), depth(root.right))
+
+
+def test_the_tree_stays_low():
+    tree = p10.Tree("word " * 40_000, lambda t: len(t.split()), 16)
+    rng = np.random.default_rng(1)
+    for _ in range(3000):
+        tree.edit(int(rng.integers(tree.chars)) if rng.random() < 0.5 else tree.chars, int(rng.integers(30)), " one two three four")
+    assert tree.tokens == len(tree.text().split()) and tree.root.leaves > 8000
+    assert depth(tree.root) < 60
+    for x in tree.nodes(tree.root):
+        own = list(tree.nodes(x))
+        assert len(own) > 50 or (x.tokens, x.chars, x.leaves) == (sum(y.own for y in own), sum(len(y.text) for y in own), len(own))
+
+
 def test_work_follows_the_edit():
     count = counter()
     tree = p10.Tree("some words here " * 20_000, count)

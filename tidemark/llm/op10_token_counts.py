@@ -13,7 +13,7 @@ ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import bisect
+import random
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -39,81 +39,121 @@ def cut_leaves(text: str, leaf: int = LEAF) -> list[str]:
     return out
 
 
+class Node:
+    """A leaf text with its tokens, and the sums of leaves, characters and tokens of its whole subtree."""
+
+    __slots__ = ("chars", "leaves", "left", "own", "right", "text", "tokens")
+
+    def __init__(self, text: str, own: int):
+        self.text, self.own, self.left, self.right = text, own, None, None
+        self.add_up()
+
+    def add_up(self) -> Node:
+        self.leaves, self.chars, self.tokens = 1, len(self.text), self.own
+        for side in (self.left, self.right):
+            if side is not None:
+                self.leaves, self.chars, self.tokens = self.leaves + side.leaves, self.chars + side.chars, self.tokens + side.tokens
+        return self
+
+
+def balanced(nodes: list[Node], lo: int = 0, hi: int | None = None) -> Node | None:
+    """A balanced tree of nodes in order."""
+    hi = len(nodes) if hi is None else hi
+    if lo >= hi:
+        return None
+    mid = (lo + hi) // 2
+    root = nodes[mid]
+    root.left, root.right = balanced(nodes, lo, mid), balanced(nodes, mid + 1, hi)
+    return root.add_up()
+
+
+def split(root: Node | None, k: int) -> tuple[Node | None, Node | None]:
+    """The first k leaves and the others."""
+    if root is None:
+        return None, None
+    before = root.left.leaves if root.left else 0
+    if k <= before:
+        a, root.left = split(root.left, k)
+        return a, root.add_up()
+    root.right, b = split(root.right, k - before - 1)
+    return root.add_up(), b
+
+
 class Tree:
-    """Leaf texts with (characters, tokens) sums in blocks: a tree of two levels of sums.
+    """Leaf texts in order as a balanced tree of sums: every edit takes O(log leaves) steps besides the leaves it touches.
 
-    Blocks of FAN leaves carry their own sums, so an edit costs the leaves it touches, one block
-    and the root; the number of blocks grows with the text.
+    Two trees are joined under a root drawn in proportion to their sizes, which keeps them balanced whatever the edits.
     """
 
-    FAN = 32
-
     def __init__(self, text: str, count, leaf: int = LEAF, tokens: list[int] | None = None):
-        self.count, self.leaf, self.encoded = count, leaf, 0
+        self.count, self.leaf, self.encoded, self.random = count, leaf, 0, random.Random(10)
         leaves = cut_leaves(text, leaf)
         tokens = tokens if tokens is not None else [count(x) for x in leaves]
-        pairs = list(zip(leaves, tokens, strict=True))
-        self.blocks = [pairs[i : i + self.FAN] for i in range(0, len(pairs), self.FAN)]
-        self.sums = [self._sum(b) for b in self.blocks]
-
-    @staticmethod
-    def _sum(block):
-        return sum(len(t) for t, _ in block), sum(n for _, n in block)
+        self.root = balanced([Node(t, n) for t, n in zip(leaves, tokens, strict=True)])
 
     @property
     def chars(self) -> int:
-        return sum(c for c, _ in self.sums)
+        return self.root.chars
 
     @property
     def tokens(self) -> int:
-        return sum(n for _, n in self.sums)
+        return self.root.tokens
+
+    def nodes(self, root: Node | None):
+        """The leaves of a subtree in order."""
+        path = []
+        while path or root is not None:
+            while root is not None:
+                path.append(root)
+                root = root.left
+            root = path.pop()
+            yield root
+            root = root.right
 
     def leaf_tokens(self) -> list[int]:
-        return [n for b in self.blocks for _, n in b]
+        return [x.own for x in self.nodes(self.root)]
 
     def text(self) -> str:
-        return "".join(t for b in self.blocks for t, _ in b)
-
-    def _find(self, at: int) -> tuple[int, int, int]:
-        """Block, leaf and offset in the leaf of a character position."""
-        for i, (c, _) in enumerate(self.sums):
-            if at < c or i == len(self.sums) - 1:
-                break
-            at -= c
-        ends, total = [], 0
-        for t, _ in self.blocks[i]:
-            total += len(t)
-            ends.append(total)
-        j = min(bisect.bisect_right(ends, at), len(ends) - 1)
-        return i, j, at - (ends[j - 1] if j else 0)
+        return "".join(x.text for x in self.nodes(self.root))
+
+    def join(self, a: Node | None, b: Node | None) -> Node | None:
+        if a is None or b is None:
+            return a or b
+        if self.random.random() * (a.leaves + b.leaves) < a.leaves:
+            a.right = self.join(a.right, b)
+            return a.add_up()
+        b.left = self.join(a, b.left)
+        return b.add_up()
+
+    def find(self, at: int) -> int:
+        """The number of the leaf that holds a character position; the last one's for the text's end."""
+        root, n = self.root, 0
+        while True:
+            before, chars = (root.left.leaves, root.left.chars) if root.left else (0, 0)
+            if at < chars:
+                root = root.left
+            elif at < chars + len(root.text) or root.right is None:
+                return n + before
+            else:
+                root, at, n = root.right, at - chars - len(root.text), n + before + 1
 
     def edit(self, at: int, remove: int, insert: str) -> None:
         """Replace `remove` characters at `at` by `insert`; both clipped to the text."""
         total = self.chars
         at = min(max(at, 0), total)
         end = min(at + max(remove, 0), total)
-        bi, li, off = self._find(at)
-        bj, lj, tail = self._find(end)
-        left, right = self.blocks[bi][li][0][:off], self.blocks[bj][lj][0][tail:]
-        new = left + insert + right
+        i, j = self.find(at), self.find(end)
+        a, rest = split(self.root, i)
+        touched, b = split(rest, j - i + 1)
+        texts, start = [x.text for x in self.nodes(touched)], a.chars if a else 0
+        last = start + sum(map(len, texts[:-1]))
+        new = texts[0][: at - start] + insert + texts[-1][end - last :]
         # a leaf must begin with its blank: else its first word may go on from the leaf before it
-        while new[:1] not in (" ", "\n") and (bi, li) != (0, 0):
-            bi, li = (bi, li - 1) if li else (bi - 1, len(self.blocks[bi - 1]) - 1)
-            new = self.blocks[bi][li][0] + new
-        pieces = [(t, self._counted(t)) for t in (cut_leaves(new, self.leaf) if len(new) > 2 * self.leaf else [new])]
-        if bi == bj:
-            self.blocks[bi][li : lj + 1] = pieces
-        else:
-            merged = self.blocks[bi][:li] + pieces + self.blocks[bj][lj + 1 :]
-            self.blocks[bi : bj + 1] = [merged]
-            self.sums[bi : bj + 1] = [(0, 0)]
-        big = self.blocks[bi]
-        if len(big) > 2 * self.FAN:
-            parts = [big[i : i + self.FAN] for i in range(0, len(big), self.FAN)]
-            self.blocks[bi : bi + 1] = parts
-            self.sums[bi : bi + 1] = [self._sum(p) for p in parts]
-        else:
-            self.sums[bi] = self._sum(big)
+        while new[:1] not in (" ", "\n") and a is not None:
+            a, before = split(a, a.leaves - 1)
+            new = before.text + new
+        pieces = [Node(t, self._counted(t)) for t in (cut_leaves(new, self.leaf) if len(new) > 2 * self.leaf else [new])]
+        self.root = self.join(self.join(a, balanced(pieces)), b)
 
     def _counted(self, text: str) -> int:
         self.encoded += len(text)
