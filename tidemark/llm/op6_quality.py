@@ -192,11 +192,16 @@ def learn(x: np.ndarray, y: np.ndarray) -> list[list[tuple]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[list[tuple]]:
-    """A decision list from the labelled documents; at most `rows` of them reach the driver."""
+    """A decision list from the labelled documents; at most `rows` of them reach the driver.
+
+    Of rows that share a labelled id the one with the least statistics stands; contradicting labels both count.
+    """
     known = labels.select("doc_id", "quality").filter("doc_id is not null and quality is not null")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
     joined = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    stats = statistics(joined, "quality").filter(~base_failed()).limit(2 * rows).toPandas()
+    stats = statistics(joined, "doc_id", "quality").filter(~base_failed())
+    # one row a labelled row, whatever repeats its id: the least by its statistics
+    stats = stats.groupBy("doc_id", "quality").agg(F.min(F.struct(*STATS)).alias("s")).select("quality", "s.*").toPandas()
     if not len(stats):
         return []
     cols = {c: stats[c].to_numpy() for c in STATS}
