@@ -23,8 +23,9 @@ from .common import cut, ship, table
 from .components import forest, stars
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
-#: At most so many fingerprints fit the shared tree; about so many nodes are meant for a shard.
-SAMPLE, SHARD, BLOCK = 8192, 8192, 128
+#: Fingerprints that fit a leaf of the shared tree; about so many nodes are meant for a shard; leaves of the shared
+#: tree at most (its sample is a MB a 2**14 leaves); nodes of a block; nodes dealt out at a time.
+SAMPLE, SHARD, LEAVES, BLOCK, DEALT = 8, 8192, 1 << 17, 128, 1 << 18
 
 
 def fingerprint(text: str | None) -> int:
@@ -79,10 +80,22 @@ def grow(sample: np.ndarray, leaves: int) -> tuple | int:
     return node(sample, leaves)
 
 
+def _gathered(batches):
+    """Fingerprints of several batches at a time: a large tree is walked once for all of them."""
+    own, n = [], 0
+    for b in batches:
+        own.append(b.column("fp").to_numpy().view(np.uint64))
+        n += own[-1].size
+        if n >= DEALT:
+            yield np.concatenate(own)
+            own, n = [], 0
+    if n:
+        yield np.concatenate(own)
+
+
 def _deal(tree, radius):
     def run(batches):
-        for b in batches:
-            fps = b.column("fp").to_numpy().view(np.uint64)
+        for fps in _gathered(batches):
             out = []
 
             def down(node, at, home, fps=fps, out=out):
@@ -98,7 +111,7 @@ def _deal(tree, radius):
                 cross = home & (d <= t) & (d + radius > t)  # an inner node looks for partners outside
                 down(outer, np.concatenate([at[stay], at[cross]]), np.concatenate([home[stay], np.zeros(int(cross.sum()), bool)]))
 
-            down(tree, np.arange(fps.size), np.ones(fps.size, bool))
+            down(tree.value, np.arange(fps.size), np.ones(fps.size, bool))
             cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int32), np.empty(0, np.uint64), np.empty(0, bool)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].view(np.int64)), pa.array(cols[2])], ["shard", "fp", "home"])
 
@@ -160,8 +173,11 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that join distinct fingerprints into their components.  nodes: (fp), distinct."""
     ship(nodes.sparkSession)
     n = nodes.count()
-    sample = nodes.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if n > SHARD else []
-    tree = grow(np.array([r.fp for r in sample], np.int64).view(np.uint64), min(SAMPLE // 8, -(-n // SHARD)))
+    leaves = min(LEAVES, -(-n // SHARD))
+    # hashes below a bound: a sample by proportion, without a sort of all nodes
+    share = nodes.filter(F.abs(F.xxhash64("fp") % F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE * leaves / max(n, 1))))
+    sample = np.sort(np.array(share.toPandas().fp if leaves > 1 else [], np.int64)).view(np.uint64)
+    tree = nodes.sparkSession.sparkContext.broadcast(grow(sample, leaves))
     dealt = nodes.mapInArrow(_deal(tree, radius), "shard int, fp long, home boolean")
     return dealt.groupBy("shard").applyInArrow(_link(radius), "a long, b long")
 
