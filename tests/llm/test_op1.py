@@ -79,3 +79,21 @@ def test_query_is_brute_force(spark):
     for r in query(spark, "/root/testdata/sf0.001").collect():
         ids = t.encode(src[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False)))
+
+
+def test_many_equal_rows_cost_no_more_than_others(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import op1_bpe_chunks as p1
+
+    text = " ".join(f"some words{i} here" for i in range(1200))
+    took = []
+    for key in ("cast(null as long)", "id"):
+        docs = spark.range(600).select(F.expr(key).alias("doc_id"), F.lit(text).alias("text"))
+        start = time.time()
+        got = p1.encode(docs).groupBy("ids").count().collect()
+        took.append(time.time() - start)
+        assert [r["count"] for r in got] == [600]
+    assert took[0] < 8 * took[1] + 20

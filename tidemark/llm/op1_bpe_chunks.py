@@ -86,9 +86,14 @@ _EMPTY = zstandard.ZstdCompressor(level=3, write_content_size=True).compress(b""
 
 
 def _chunks(batches):
+    """Chunks of the texts; of equal rows, which meet in one task, only one's, so that no row's list holds them again."""
+    seen = set()
     for b in _small(batches):
         docs, keys, hashes, starts, ends = [], [], [], [], []
         for d, k, text in zip(b.column("d").to_pylist(), b.column("k").to_pylist(), _texts(b), strict=True):
+            if (row := hash((d, k))) in seen:  # a chance match costs reuse, nothing else
+                continue
+            seen.add(row)
             last = 0
             for e in chunk_ends(text):
                 docs.append(d)
