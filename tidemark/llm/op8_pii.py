@@ -4,8 +4,9 @@ Fixed patterns find e-mail addresses, IP addresses, payment cards and phone numb
 These are the seeds.  Words around seeds, and the seeds' character shapes, are lexical patterns; words
 with a digit that no seed covers are the candidates.  Patterns and instances form a graph: a pattern is
 worth the share of its instances that are believed, an instance is believed by the patterns that it
-shows; scores go round a fixed number of times.  Candidates that a well-supported pattern carries over
-the threshold become spans of the pattern's kind.  Everything is DataFrame operations.
+shows, and believed instances raise patterns that no seed showed; rounds go on until the scores have
+settled.  Candidates that well-supported patterns carry over the threshold become spans of their kind.
+Everything is DataFrame operations.
 
 Positions are in code points, ends exclusive.  The patterns are written so that the engine's regular
 expressions neither recurse nor rescan a run of characters, whatever a text's length.
@@ -32,10 +33,9 @@ PATTERNS = {
 }
 _WS, _NOT_WS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 _CANDIDATE = rf"(?<!{_NOT_WS})(?=[^\x20\x09-\x0D0-9]*+[0-9]){_NOT_WS}++"
-#: Characters of context looked at on either side for a word; rounds of scoring; seeds a pattern
-#: needs; share of a pattern's instances that must be seeds or believed; least score of a new span;
-#: least characters of a candidate.
-CONTEXT, ROUNDS, SUPPORT, CONFIDENCE, BELIEF, SHORTEST = 64, 2, 5, 0.9, 0.9, 6
+#: Seeds or believed instances a pattern needs; share of a pattern's instances that must be such; least score of a
+#: new span; least characters of a candidate; change of all scores at which they have settled.
+SUPPORT, CONFIDENCE, BELIEF, SHORTEST, SETTLED = 5, 0.9, 0.9, 6, 1e-6
 SPAN = "struct<start: bigint, end: bigint, kind: string>"
 _HIT = "array<struct<start: bigint, end: bigint, word: string, left: string, right: string>>"
 
@@ -63,8 +63,8 @@ def with_hits(rows: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataF
 
         def one(m, i):
             end = F.get(run, i) + F.get(sizes, i)
-            left = F.regexp_extract(F.substring(F.get(gaps, i), -CONTEXT, CONTEXT), rf"({_NOT_WS}+){_WS}*$", 1)
-            right = F.regexp_extract(F.substring(F.get(gaps, i + 1), 1, CONTEXT), rf"^{_WS}*({_NOT_WS}+)", 1)
+            left = F.regexp_extract(F.get(gaps, i), rf"(?<!{_NOT_WS})({_NOT_WS}++){_WS}*+$", 1)
+            right = F.regexp_extract(F.get(gaps, i + 1), rf"^{_WS}*+({_NOT_WS}++)", 1)
             return F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("word"), left.alias("left"), right.alias("right"))
 
         read = run.isNull() | sizes.isNull() | (F.size(run) + F.size(sizes) == 0)
@@ -143,26 +143,37 @@ def _shown(rows: DataFrame) -> DataFrame:
     shows = F.array(
         F.concat(F.lit("L "), lower_ascii(F.col("left"))),
         F.concat(F.lit("R "), lower_ascii(F.col("right"))),
-        F.concat(F.lit("S "), F.substring(shape(F.col("word")), 1, 256)),
+        F.concat(F.lit("S "), shape(F.col("word"))),
     )
     return rows.withColumn("instance", F.xxhash64("word")).withColumn("pattern", F.explode(shows)).filter("length(pattern) > 2").withColumn("pattern", F.xxhash64("pattern"))
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, kind, belief) of candidates believed to be personal data.  found: rows of find()."""
+def bootstrap(found: DataFrame) -> DataFrame:
+    """(instance, kind, belief) of candidates believed to be personal data.  found: rows of find().
+
+    Seeds and believed instances raise patterns, confident patterns raise instances, until neither grows and the scores
+    have settled.  Scores never fall from round to round, so this ends.
+    """
     seeds = _shown(found.select(F.explode("seeds").alias("s")).select("s.*"))
     seeds = cut(seeds.groupBy("kind", "pattern", "instance").agg(F.count("*").alias("n")))
-    strong = seeds.groupBy("kind", "pattern").agg(F.count("*").alias("support"), F.sum("n").alias("seen")).filter(F.col("support") >= SUPPORT)
     free = _shown(found.select(F.explode("candidates").alias("c")).select("c.word", "c.left", "c.right"))
-    free = cut(free.groupBy("pattern", "instance").agg(F.count("*").alias("n")).join(strong.select("kind", "pattern"), "pattern"))
-    strong = cut(strong)
-    belief = None
-    for _ in range(rounds):
-        scored = free.withColumn("belief", F.lit(0.0)) if belief is None else free.join(belief, ["kind", "instance"], "left").fillna(0.0, ["belief"])
-        seen = scored.groupBy("kind", "pattern").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("belief")).alias("good"))
-        worth = strong.join(seen, ["kind", "pattern"]).select("kind", "pattern", ((F.col("seen") + F.col("good")) / (F.col("seen") + F.col("all"))).alias("worth")).filter(F.col("worth") >= CONFIDENCE)
+    free = cut(free.groupBy("pattern", "instance").agg(F.count("*").alias("n")))
+    every = cut(free.groupBy("pattern").agg(F.sum("n").alias("all")))
+    own = seeds.select("kind", "pattern", F.lit(1).alias("support"), F.col("n").alias("seen"), F.lit(0.0).alias("good"))
+    belief, before = None, None
+    while True:
+        raised = own
+        if belief is not None:
+            held = free.join(belief, "instance").select("kind", "pattern", (F.col("belief") >= BELIEF).cast("int").alias("support"), F.lit(0).cast("long").alias("seen"), (F.col("n") * F.col("belief")).alias("good"))
+            raised = own.unionByName(held)
+        strong = raised.groupBy("kind", "pattern").agg(F.sum("support").alias("support"), F.sum("seen").alias("seen"), F.sum("good").alias("good")).filter(F.col("support") >= SUPPORT)
+        worth = strong.join(every, "pattern").select("kind", "pattern", ((F.col("seen") + F.col("good")) / (F.col("seen") + F.col("all"))).alias("worth")).filter(F.col("worth") >= CONFIDENCE)
         doubt = F.product(1 - F.least("worth", F.lit(0.999)))
-        belief = cut(free.join(worth, ["kind", "pattern"]).groupBy("kind", "instance").agg((1 - doubt).alias("belief")))
+        belief = cut(free.join(worth, "pattern").groupBy("kind", "instance").agg((1 - doubt).alias("belief")))
+        state = belief.agg(F.count("*"), F.count(F.when(F.col("belief") >= BELIEF, 1)), F.coalesce(F.sum("belief"), F.lit(0.0))).first()
+        if before is not None and state[:2] == before[:2] and abs(state[2] - before[2]) <= SETTLED * max(1.0, state[2]):
+            break
+        before = state
     best = belief.filter(F.col("belief") >= BELIEF).groupBy("instance").agg(F.max_by("kind", F.struct("belief", "kind")).alias("kind"), F.max("belief").alias("belief"))
     return best.select("instance", "kind", "belief")
 
