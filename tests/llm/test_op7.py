@@ -71,13 +71,35 @@ def test_query(spark):
 def test_long_documents_are_cut_without_loss(monkeypatch):
     rng = np.random.default_rng(2)
     text = "".join(rng.choice(list("abcdefgh "), 5000))
-    raw = p7.Slice([1], [text], 4, 50, 20)
-    s = p7.Slice.__new__(p7.Slice)
-    s.raw = [text.encode()]
-    whole = set()
-    for a, z in zip(raw.a.tolist(), raw.z.tolist()):
-        whole |= set(range(a, z + 1))
-    assert whole == set(range(5000 - 49))
-    real = p7.Slice._long
-    parts = real(s, 0, 50, 20)
-    assert sorted(x for a, z in ((p[3], p[4]) for p in parts) for i, j in zip(a.tolist(), z.tolist()) for x in range(i, j + 1)) == list(range(4951))
+    whole = p7.Slice([1], [text], 4, 50, 20)
+    monkeypatch.setattr(p7, "LONG", 2000)
+    monkeypatch.setattr(p7, "STRETCH", 1300)
+    cut = p7.Slice([1], [text], 4, 50, 20)  # four stretches
+    for s in (whole, cut):
+        starts = sorted(x for a, z in zip(s.a.tolist(), s.z.tolist(), strict=True) for x in range(a, z + 1))
+        assert starts == list(range(4951))
+    assert cut.h.size > whole.h.size - 1 and set(zip(whole.h.tolist(), (whole.p).tolist(), strict=True)) == set(zip(cut.h.tolist(), (cut.p).tolist(), strict=True))
+
+
+def test_repeats_across_stretches(spark, monkeypatch):
+    """In this process: step 1 on long texts and on short ones that hold their pieces, judged by brute force."""
+    rng = np.random.default_rng(4)
+    say = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    long = say(3000)
+    rows = [(1, long), (2, say(30) + long[700:1500] + say(40)), (3, long[1250:1350]), (4, say(90)), (5, long + say(60))]
+    for name, value in (("STEP", 600), ("LONG", 1000), ("STRETCH", 500)):  # stretches are of single texts
+        monkeypatch.setattr(p7, name, value)
+    s = p7.Slice([d for d, _ in rows], [t for _, t in rows], 1, 50, 20)
+    first = {}
+    for h, c, doc, a, z in zip(s.h.tolist(), s.c.tolist(), s.doc.tolist(), s.a.tolist(), s.z.tolist(), strict=True):
+        first.setdefault(h, []).append((doc, a, z, c))
+    covered = {(doc, x) for own in first.values() for doc, a, z, _ in own for x in range(a, z + 1)}
+    assert covered == {(i, x) for i, (_, t) in enumerate(rows) for x in range(max(0, len(t.encode()) - 49))}
+
+
+@pytest.mark.parametrize("size", [1 << 24, 600])
+def test_slices_follow_the_bytes(spark, monkeypatch, size):
+    monkeypatch.setattr(p7, "SLICE", size)
+    rows = [(i, ("shared passage of words that goes on and on for a good while " if i % 3 else "") + f"row {i} " * 8) for i in range(40)]
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, kept int")
+    assert rows_of(p7.deduplicate(docs)) == brute(rows)

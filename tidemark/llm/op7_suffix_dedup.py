@@ -37,8 +37,9 @@ from .rindex import RunIndex
 WINDOW, GRAM = 50, 20
 #: Bytes handled at a time while hashing; bytes of spans indexed at a time; streams side by side.
 STEP, INDEXED, STREAMS = 1 << 16, 1 << 20, 4096
-#: Entries judged at a time.
-ANSWERED = 1 << 18
+#: Entries judged at a time; bytes of text meant for a slice at most; bytes hashed at once from which a text is cut, and its stretches.
+ANSWERED, SLICE = 1 << 18, 1 << 24
+LONG, STRETCH = 1 << 24, 1 << 23
 _BASE = 0x9E3779B97F4A7C15
 _BIG = np.iinfo(np.int64).max
 _TAG, _TAGS = 257, 3  # three digits to the base 256, written as symbols from 257 on
@@ -120,7 +121,7 @@ class Slice:
             while hi < len(self.raw) and (hi == lo or size + len(self.raw[hi]) <= STEP):
                 size += len(self.raw[hi])
                 hi += 1
-            if size >= 1 << 24:
+            if size >= LONG:
                 parts += self._long(lo, window, gram)
             else:
                 ends = np.cumsum([len(x) for x in self.raw[lo:hi]])
@@ -140,8 +141,8 @@ class Slice:
         self.ids = self.keys[self.doc[self.first]] if self.h.size else np.empty(0, np.int64)
 
     def _long(self, d: int, window: int, gram: int):
-        """A document beyond 16 MB, in overlapping stretches whose windows do not overlap."""
-        raw, out, step = self.raw[d], [], (1 << 23)
+        """A document beyond LONG bytes, in overlapping stretches whose windows do not overlap."""
+        raw, out, step = self.raw[d], [], STRETCH
         for at in range(0, max(1, len(raw) - window + 1), step):
             part = np.frombuffer(raw[at : at + step + window - 1], np.uint8)
             h, c, doc, a, z, p = _spans(part, np.array([part.size]), window, gram)
@@ -420,8 +421,10 @@ def deduplicate(docs: DataFrame, *keep: str, window: int = WINDOW, gram: int = G
     spark = docs.sparkSession
     ship(spark)
     keep = keep or ("doc_id",)
-    parts = shuffle_partitions(spark)
-    slices, buckets = 2 * parts, parts
+    # as many slices as the texts need, whatever the session's number of partitions
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    slices = max(2 * shuffle_partitions(spark), -(-total // SLICE))
+    parts = buckets = -(-slices // 2)
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]), F.col("doc_id").cast("long").alias("_id"))
     rows = rows.withColumn("_slice", F.pmod(F.xxhash64("_id", "text"), F.lit(slices)).cast("int")).repartition(parts, "_slice")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
