@@ -36,9 +36,9 @@ from .rindex import RunIndex
 
 WINDOW, GRAM = 50, 20
 #: Bytes handled at a time while hashing; bytes of spans indexed at a time; streams side by side.
-STEP, INDEXED, STREAMS = 1 << 16, 1 << 20, 4096
+STEP, INDEXED, STREAMS = 1 << 16, 1 << 19, 2048
 #: Entries judged at a time; bytes of text meant for a slice at most; bytes hashed at once from which a text is cut, and its stretches.
-ANSWERED, SLICE = 1 << 18, 1 << 24
+ANSWERED, SLICE = 1 << 17, 1 << 24
 LONG, STRETCH = 1 << 24, 1 << 23
 _BASE = 0x9E3779B97F4A7C15
 _BIG = np.iinfo(np.int64).max
