@@ -1,12 +1,16 @@
-"""Connected components by alternating large-star and small-star rounds."""
+"""Connected components: each task joins its own links, then alternating large-star and small-star rounds join the tasks'."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, ship
+
+#: Links that a task joins by itself, about.
+LINKS = 1 << 18
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,17 +38,37 @@ def _state(edges: DataFrame):
     return r[0], r[1]
 
 
+def _joined(batches):
+    """The spanning star forest of a task's links, slimmed whenever it has doubled."""
+    own, held, limit = [], 0, LINKS
+    for x in batches:
+        own.append((x.column("a").to_numpy(), x.column("b").to_numpy()))
+        held += x.num_rows
+        if held > limit:
+            own = [forest(*map(np.concatenate, zip(*own, strict=True)))]
+            held = own[0][0].size
+            limit = max(LINKS, 2 * held)
+    if own:
+        a, b = forest(*map(np.concatenate, zip(*own, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b): every linked node a that is not its component's smallest, with that smallest b.
 
-    edges: (a, b) longs.  Each round lowers labels along stars; the minimum of a node's neighbours
-    is combined before the shuffle, so a hub of many links is met as one row per task.  Lineage is
-    cut every round.
+    edges: (a, b) longs.  The links are read by as many tasks as their number asks for (LINKS to each), and each
+    task hands on one link a node at most; a single task's are the components already.  Otherwise each round
+    lowers labels along stars; the minimum of a node's neighbours is combined before the shuffle, so a hub of many
+    links is met as one row per task.  Lineage is cut every round.  Raises if most_rounds do not settle.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = _state(now)
-    if not state[0]:
+    ship(edges.sparkSession)
+    links = cut(edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    tasks = max(1, -(-links.count() // LINKS))
+    now = cut(links.coalesce(tasks).mapInArrow(_joined, "a long, b long"))
+    if tasks == 1:
         return now
+    now = cut(now.distinct())
+    state = _state(now)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
