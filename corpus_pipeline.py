@@ -41,7 +41,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of 5-word shingle similarity 0.8 or more stays."""
+    """One document of each group of 5-word shingle similarity 0.8 or more stays: SimHash links held against
+    that similarity, and an exact join of what SimHash has not joined."""
     rows = _bundle(docs)
     return _unbundle(op5_simhash.one_of_each(rows, op5_similar.similar(rows)), docs.columns)
 

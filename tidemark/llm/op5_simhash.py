@@ -152,7 +152,27 @@ def pairs(home: np.ndarray, guests: np.ndarray, radius: int, rng=None):
                     yield h[k : k + 1024][i[ok]], other[j[ok]]
 
 
-def _link(radius):
+def closest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links a-b between fingerprints, of those of the fewest differing bits."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: a.size], at[a.size :]
+    order = np.lexsort((y, x, np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64))))
+    x, y = x[order], y[order]
+    label, kept = np.arange(names.size), [np.empty(0, np.int64)]
+    while (live := np.flatnonzero(label[x] != label[y])).size:
+        best = np.full(names.size, x.size)  # the closest link that leaves each tree
+        np.minimum.at(best, label[x[live]], live)
+        np.minimum.at(best, label[y[live]], live)
+        kept.append(np.unique(best[best < x.size]))
+        node, low = forest(label[x[kept[-1]]], label[y[kept[-1]]])
+        to = np.arange(names.size)
+        to[node] = low
+        label = to[label]
+    own = np.unique(np.concatenate(kept))
+    return names[x[own]], names[y[own]]
+
+
+def _link(radius, slim=forest):
     def run(key, rows):
         fps, home = rows.column("fp").to_numpy().view(np.uint64), rows.column("home").to_numpy(zero_copy_only=False)
         out_a, out_b, kept = [], [], 0
@@ -161,16 +181,17 @@ def _link(radius):
             out_b.append(b.view(np.int64))
             kept += a.size
             if kept > 2_000_000:
-                a, b = forest(np.concatenate(out_a), np.concatenate(out_b))
+                a, b = slim(np.concatenate(out_a), np.concatenate(out_b))
                 out_a, out_b, kept = [a], [b], a.size
-        a, b = forest(np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64),) * 2
+        a, b = slim(np.concatenate(out_a), np.concatenate(out_b)) if out_a else (np.empty(0, np.int64),) * 2
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): links that join distinct fingerprints into their components.  nodes: (fp), distinct."""
+def links(nodes: DataFrame, radius: int = RADIUS, slim=forest) -> DataFrame:
+    """(a, b): links that join distinct fingerprints into their components.  nodes: (fp), distinct.
+    slim: what a shard hands on of its links: `forest` names each component's smallest, `closest` keeps real links."""
     ship(nodes.sparkSession)
     n = nodes.count()
     leaves = min(LEAVES, -(-n // SHARD))
@@ -179,7 +200,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     sample = np.sort(np.array(share.toPandas().fp if leaves > 1 else [], np.int64)).view(np.uint64)
     tree = nodes.sparkSession.sparkContext.broadcast(grow(sample, leaves))
     dealt = nodes.mapInArrow(_deal(tree, radius), "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(_link(radius), "a long, b long")
+    return dealt.groupBy("shard").applyInArrow(_link(radius, slim), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

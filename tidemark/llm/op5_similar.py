@@ -1,7 +1,12 @@
-"""Near-duplicates at a Jaccard similarity of 5-word shingle sets, by an exact prefix join.
+"""SimHash near-duplicates held against a Jaccard similarity of 5-word shingle sets, and an exact join for the rest.
 
 A shingle is the upper 48 bits of its XXH64.  Texts of one set of shingles (by a 128-bit hash of the sorted
-set) are one node.  Shingles have one order, in which those that are common in a bounded sample come last.
+set) are one node.  Nodes get the SimHash fingerprints of op5_simhash, whose vantage-point trees find those
+within REACH bits: a spanning forest of the closest links, and for equal fingerprints a link to one of them.
+Such a link stands if the whole sets are SIMILAR.  Close fingerprints neither imply that similarity nor
+follow from it, so what SimHash has not joined goes through an exact prefix join:
+
+Shingles have one order, in which those that are common in a bounded sample come last.
 Of two sets of similarity SIMILAR or more, each holds one of the other's first n - ceil(SIMILAR n) + 1
 shingles in that order among its own, so a node is dealt out by these only, and nodes that meet in none need
 no test.  A pair that meets is left out only where it cannot be similar: by the sizes, by what can still be
@@ -9,8 +14,8 @@ shared behind the first common shingle, and by the sketches, in which each shing
 differ in at least as many shingles as their sketches in bits).  All other pairs are held against the whole
 sets, so the links are exact.
 
-To be spared the pairs within a group, the first round holds each node of a shingle against one that they
-all have in common.  Later rounds leave out the shingles whose nodes are all in one component, and test each
+Only shingles that nodes of several components hold are dealt out.  To be spared the pairs within a group, the
+first round holds each node of a shingle against one that they all have in common.  Later rounds leave out the shingles whose nodes are all in one component, and test each
 node's most promising partners in other components, more each round, until no candidate between two
 components is left untested.  So a component is what the true links make it, and no partner is capped.
 A shingle of very many nodes is split into blocks, and each pair of blocks is handled by itself; a set with
@@ -32,14 +37,16 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship
 from .components import stars
-from .op5_simhash import SEED
+from .op5_simhash import SEED, closest, fingerprint, links
 
 SHINGLE, SIMILAR, SKETCH = 5, 0.8, 1024
 #: Bytes of a shingle's hash that are kept.
 WIDTH = 6
+#: Bits that fingerprints of a SimHash link differ in at most.  A wider reach links more, and each fingerprint visits more shards.
+REACH = 3
 #: Texts whose shingles are counted for the order, how many must hold one that is common, common ones at most.
 SAMPLE, COMMON, MOST_COMMON = 2048, 3, 65536
-#: Partners of a node in the second round (the first has one of each shingle), and how many times more in each further one.
+#: Partners of a node in the join's second round (its first has one of each shingle), and how many times more in each further one.
 NEAREST, MORE = 16, 8
 #: Nodes whose texts are found by a broadcast at most; pairs of one text that one copy of its set serves; links held by a task before they are slimmed; pairs handled at a
 #: time; nodes of a shingle in a block; places that shingles are dealt to at least; rows meant for a place.
@@ -147,29 +154,31 @@ def _prints(common):
         from xxhash import xxh3_128_digest
 
         for b in _parts(batches):
-            same, size, bits, first = [], [], [], []
+            same, size, bits, first, fp = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 own = distinct(t)
                 same.append(xxh3_128_digest(own.tobytes(), SEED))
                 size.append(own.size)
                 bits.append(sketch(own))
                 first.append(packed(prefix(own, *common.value)))
+                fp.append(fingerprint(t))
             keep = [c for c in b.schema.names if c != "text"]
-            made = [pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, "same", "size", "sketch", "first"])
+            made = [pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.array(first, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *made], [*keep, "same", "size", "sketch", "first", "fp"])
 
     return run
 
 
 def _tokens(batches):
-    """A row for each shingle that a node is dealt out by, with its place in the prefix."""
+    """A row for each shingle that a node is dealt out by, with its place in the prefix and its node's root."""
     for b in _parts(batches):
         node, size = b.column("node").to_numpy(), b.column("size").to_numpy()
         first = b.column("first").to_pylist()
         many = np.array([len(x) // WIDTH for x in first], np.int64)
         pos = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
         cols = [unpacked(b"".join(first)).view(np.int64), np.repeat(node, many), np.repeat(size, many).astype(np.int32), pos.astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "node", "size", "pos"])
+        root = b.column("root").take(pa.array(np.repeat(np.arange(b.num_rows), many)))
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), root], ["token", "node", "size", "pos", "root"])
 
 
 def common_shingles(keyed: DataFrame):
@@ -333,6 +342,17 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.filter("part_a <> part_b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long, d long")
 
 
+def close_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b) of nodes, a < b, that SimHash links: of a spanning forest of the closest fingerprints, and one node of
+    each fingerprint with its others.  nodes: (node, fp)."""
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    near = links(prints.select("fp"), REACH, closest)
+    for n in "ab":
+        near = near.join(prints.select(F.col("fp").alias(n), F.col("head").alias(f"head_{n}")), n)
+    equal = nodes.join(prints, "fp").filter("head < node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    return near.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")).unionByName(equal).distinct()
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, k, root): root names the component of a row's text; k as in op5_simhash."""
     spark = docs.sparkSession
@@ -340,29 +360,49 @@ def similar(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64("doc_id", "text").alias("own"), "text")
     common = spark.sparkContext.broadcast(common_shingles(keyed))
-    made = keyed.mapInArrow(_prints(common), f"doc_id {kind}, k long, own long, same binary, size int, sketch binary, first binary")
+    made = keyed.mapInArrow(_prints(common), f"doc_id {kind}, k long, own long, same binary, size int, sketch binary, first binary, fp long")
     rows = cut(made)
-    nodes = cut(rows.groupBy("same").agg(F.min_by(F.struct("own", "size", "sketch", "first"), "own").alias("x")).select("same", "x.*"))
+    nodes = cut(rows.groupBy("same").agg(F.min_by(F.struct("own", "size", "sketch", "first", "fp"), "own").alias("x")).select("same", "x.*"))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # over written partitions: stable
-    dealt = nodes.select("node", "size", "first").mapInArrow(_tokens, "token long, node long, size int, pos int")
+    tests = []
+
+    def sets_of(pairs, of):
+        """The sets of the nodes of pairs."""
+        want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        want = cut(of.select("node", "own").join(want, "node"))
+        want = F.broadcast(want) if want.count() <= SMALL else want
+        texts = keyed.select("own", "text").join(want, "own").select("node", "text")
+        return cut(texts.mapInArrow(_sets, "node long, own binary"))
+
+    def settled(chosen, of, joined=None):
+        """(node, root) of the components by the links among the chosen pairs and what the rounds before have joined."""
+        tests.append(cut(judged(chosen, sets_of(chosen, of))))
+        alike = tests[-1].filter("alike").select("a", "b")
+        alike = alike if joined is None else alike.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        return stars(alike).select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+    def untested(pairs):
+        return pairs.join(reduce(DataFrame.unionByName, tests).select("a", "b"), ["a", "b"], "left_anti")
+
+    def in_parts(of, joined):
+        return of.join(joined, "node", "left").withColumn("part", F.coalesce("root", "node"))
+
+    # SimHash, its links held against the sets
+    chosen = cut(possible(close_pairs(nodes.select("node", "fp")), nodes.withColumn("part", F.col("node")))).select("a", "b")
+    joined = settled(chosen, nodes)
+    # the rest
+    dealt = nodes.select("node", "size", "first").join(joined, "node", "left").mapInArrow(_tokens, "token long, node long, size int, pos int, root long")
     #: Nodes of a shingle in order of size: where the next one is too large for one before, no pair goes across.
     by_size = Window.partitionBy("token").orderBy("size")
     gap = F.col("size") * _LIMIT.numerator > F.lag("size").over(by_size) * _LIMIT.denominator
     runs = dealt.withColumn("gap", F.when(gap, 1).otherwise(0)).withColumn("run", F.sum("gap").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    shared = runs.withColumn("met", F.count("*").over(Window.partitionBy("token", "run"))).filter("met > 1")
-    #: Rows of shingles (and runs of sizes) that several nodes are dealt out by.
+    run, part = Window.partitionBy("token", "run"), F.coalesce("root", "node")
+    shared = runs.withColumns({"met": F.count("*").over(run), "low": F.min(part).over(run), "high": F.max(part).over(run)}).filter("low < high")
+    #: Rows of shingles (and runs of sizes) that nodes of several components are dealt out by.
     places = cut(shared.select(F.xxhash64("token", "run").alias("token"), "node", "size", "pos", "met"))
     busy = cut(nodes.join(places.select("node").distinct(), "node").select("node", "own", "size", "sketch"))
     many = max(PLACES, places.count() // PLACE)
 
-    def sets_of(pairs):
-        """The sets of the nodes of pairs."""
-        want = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        want = cut(busy.select("node", "own").join(want, "node"))
-        want = F.broadcast(want) if want.count() <= SMALL else want
-        texts = keyed.select("own", "text").join(want, "own").select("node", "text")
-        return cut(texts.mapInArrow(_sets, "node long, own binary"))
-
     def candidates(joined, parts, open_places, most):
         kept = places
         if open_places is None:
@@ -383,15 +423,12 @@ def similar(docs: DataFrame) -> DataFrame:
 
     heads = places.groupBy("token").agg(F.min("node").alias("head"))
     met = places.join(heads, "token").select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a < b").distinct()
-    chosen = cut(possible(met, busy.withColumn("part", F.col("node")))).select("a", "b")
-    most, tests, joined, pending, open_places = 0, [], None, None, None
+    chosen = cut(untested(possible(met, in_parts(busy, joined)).select("a", "b")))
+    most, pending, open_places = 0, None, None
     rank = F.row_number().over(Window.partitionBy("node").orderBy("d", "a", "b"))
     while True:
-        tests.append(cut(judged(chosen, sets_of(chosen))))
-        alike = tests[-1].filter("alike").select("a", "b")  # with what the rounds before have joined
-        alike = alike if joined is None else alike.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        joined = stars(alike).select(F.col("a").alias("node"), F.col("b").alias("root"))
-        parts = busy.join(joined, "node", "left").withColumn("part", F.coalesce("root", "node"))
+        joined = settled(chosen, busy, joined)
+        parts = in_parts(busy, joined)
         pool = pending
         if open_places is None or not open_places.isEmpty():
             most = most * MORE if most else NEAREST
@@ -399,8 +436,7 @@ def similar(docs: DataFrame) -> DataFrame:
             open_places = found.filter("a < 0").select(F.col("b").alias("place"))
             found = found.filter("a >= 0")
             pool = found if pool is None else pool.unionByName(found).dropDuplicates(["a", "b"])
-        fresh = pool.select("a", "b").join(reduce(DataFrame.unionByName, tests).select("a", "b"), ["a", "b"], "left_anti")
-        fresh = possible(fresh, parts)
+        fresh = possible(untested(pool.select("a", "b")), parts)
         ends = fresh.withColumn("node", F.explode(F.array("a", "b"))).withColumn("rank", rank)
         first = cut(ends.groupBy("a", "b").agg(F.first("d").alias("d"), F.min("rank").alias("rank")))
         chosen, pending = first.filter(F.col("rank") <= most).select("a", "b"), first.filter(F.col("rank") > most).select("a", "b", "d")
