@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import io
 import os
+import time
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
+#: Seconds between two returns of a worker's unused memory.
+GIVE_BACK = 1.0
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -66,6 +71,54 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_given = [0.0]
+
+
+def give_back(now: bool = False) -> None:
+    """Returns what the allocators of a Python worker hold unused, every GIVE_BACK seconds or at once.
+
+    Workers live on between tasks, and Arrow's pool alone keeps some 100 MB of the largest batches.
+    """
+    if not now and time.monotonic() - _given[0] < GIVE_BACK:
+        return
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+    _given[0] = time.monotonic()
+
+
+def lean(run):
+    """run, a function of batches, of (key, rows) or of (key, rows, others), that gives its worker's unused memory back."""
+    if inspect.isgeneratorfunction(run):
+
+        def over_batches(batches):
+            for x in run(batches):
+                yield x
+                del x
+                give_back()
+            give_back(now=True)
+
+        return over_batches
+    if len(inspect.signature(run).parameters) == 2:
+
+        def over_group(key, rows):
+            out = run(key, rows)
+            give_back()
+            return out
+
+        return over_group
+
+    def over_groups(key, rows, others):
+        out = run(key, rows, others)
+        give_back()
+        return out
+
+    return over_groups
+
+
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, lean, ship
 
 #: Links that a task joins by itself, about.
 LINKS = 1 << 18
@@ -64,7 +64,7 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     ship(edges.sparkSession)
     links = cut(edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
     tasks = max(1, -(-links.count() // LINKS))
-    now = cut(links.coalesce(tasks).mapInArrow(_joined, "a long, b long"))
+    now = cut(links.coalesce(tasks).mapInArrow(lean(_joined), "a long, b long"))
     if tasks == 1:
         return now
     now = cut(now.distinct())

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import cut, ship, shuffle_partitions, table, tokenizer_path
+from .common import cut, lean, ship, shuffle_partitions, table, tokenizer_path
 
 CAPACITY, END_ID = 2048, 0
 #: Lengths, taken at quantiles of the histogram, that may be a pattern's second and third member.
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path or tokenizer_path(), capacity, end_id, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(_pieces(path or tokenizer_path(), capacity, end_id, with_ids)), schema)
 
 
 def patterns(count: np.ndarray, capacity: int) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship, table
+from .common import cut, lean, ship, table
 from .components import forest, stars
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("k"), "text")
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, k long, fp long")
+    return rows.mapInArrow(lean(_fingerprints), f"doc_id {kind}, k long, fp long")
 
 
 def grow(sample: np.ndarray, leaves: int) -> tuple | int:
@@ -199,8 +199,8 @@ def links(nodes: DataFrame, radius: int = RADIUS, slim=forest) -> DataFrame:
     share = nodes.filter(F.abs(F.xxhash64("fp") % F.lit(1 << 40)) < int((1 << 40) * min(1.0, SAMPLE * leaves / max(n, 1))))
     sample = np.sort(np.array(share.toPandas().fp if leaves > 1 else [], np.int64)).view(np.uint64)
     tree = nodes.sparkSession.sparkContext.broadcast(grow(sample, leaves))
-    dealt = nodes.mapInArrow(_deal(tree, radius), "shard int, fp long, home boolean")
-    return dealt.groupBy("shard").applyInArrow(_link(radius, slim), "a long, b long")
+    dealt = nodes.mapInArrow(lean(_deal(tree, radius)), "shard int, fp long, home boolean")
+    return dealt.groupBy("shard").applyInArrow(lean(_link(radius, slim)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:

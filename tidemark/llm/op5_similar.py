@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, lean, ship
 from .components import stars
 from .op5_simhash import SEED, closest, fingerprint, links
 
@@ -188,7 +188,7 @@ def common_shingles(keyed: DataFrame):
     """
     every = max(1, keyed.count() // SAMPLE)
     some = keyed.filter(F.pmod("k", F.lit(every)) == 0).select("text").limit(2 * SAMPLE)
-    seen = some.mapInArrow(_hashes, "token long").groupBy("token").count().filter(F.col("count") >= COMMON)
+    seen = some.mapInArrow(lean(_hashes), "token long").groupBy("token").count().filter(F.col("count") >= COMMON)
     top = [r.token for r in seen.orderBy(F.desc("count"), "token").limit(MOST_COMMON).collect()]
     own = np.array(top, np.int64).view(np.uint64)
     order = np.argsort(own)
@@ -321,7 +321,7 @@ def judged(pairs: DataFrame, sets: DataFrame, least: float = SIMILAR) -> DataFra
     others = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("n")).alias("s"), F.col("b").alias("node"))
     filled = others.select("a", "s").distinct()  # a share that nobody is dealt to needs no copy
     rows = others.unionByName(heads.join(filled, ["a", "s"], "left_semi")).join(sets, "node")
-    return rows.groupBy("a", "s").applyInArrow(_judge(Fraction(str(least))), "a long, b long, alike boolean")
+    return rows.groupBy("a", "s").applyInArrow(lean(_judge(Fraction(str(least)))), "a long, b long, alike boolean")
 
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             far = pa.array(d * 4096 // np.maximum(m + n, 1))
             yield pa.RecordBatch.from_arrays([x.column("a"), x.column("b"), far], ["a", "b", "d"]).filter(pa.array(ok))
 
-    return pairs.filter("part_a <> part_b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long, d long")
+    return pairs.filter("part_a <> part_b").select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(lean(keep), "a long, b long, d long")
 
 
 def close_pairs(nodes: DataFrame) -> DataFrame:
@@ -360,7 +360,7 @@ def similar(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.select("doc_id", F.xxhash64("text").alias("k"), F.xxhash64("doc_id", "text").alias("own"), "text")
     common = spark.sparkContext.broadcast(common_shingles(keyed))
-    made = keyed.mapInArrow(_prints(common), f"doc_id {kind}, k long, own long, same binary, size int, sketch binary, first binary, fp long")
+    made = keyed.mapInArrow(lean(_prints(common)), f"doc_id {kind}, k long, own long, same binary, size int, sketch binary, first binary, fp long")
     rows = cut(made)
     nodes = cut(rows.groupBy("same").agg(F.min_by(F.struct("own", "size", "sketch", "first", "fp"), "own").alias("x")).select("same", "x.*"))
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())  # over written partitions: stable
@@ -372,7 +372,7 @@ def similar(docs: DataFrame) -> DataFrame:
         want = cut(of.select("node", "own").join(want, "node"))
         want = F.broadcast(want) if want.count() <= SMALL else want
         texts = keyed.select("own", "text").join(want, "own").select("node", "text")
-        return cut(texts.mapInArrow(_sets, "node long, own binary"))
+        return cut(texts.mapInArrow(lean(_sets), "node long, own binary"))
 
     def settled(chosen, of, joined=None):
         """(node, root) of the components by the links among the chosen pairs and what the rounds before have joined."""
@@ -391,7 +391,7 @@ def similar(docs: DataFrame) -> DataFrame:
     chosen = cut(possible(close_pairs(nodes.select("node", "fp")), nodes.withColumn("part", F.col("node")))).select("a", "b")
     joined = settled(chosen, nodes)
     # the rest
-    dealt = nodes.select("node", "size", "first").join(joined, "node", "left").mapInArrow(_tokens, "token long, node long, size int, pos int, root long")
+    dealt = nodes.select("node", "size", "first").join(joined, "node", "left").mapInArrow(lean(_tokens), "token long, node long, size int, pos int, root long")
     #: Nodes of a shingle in order of size: where the next one is too large for one before, no pair goes across.
     by_size = Window.partitionBy("token").orderBy("size")
     gap = F.col("size") * _LIMIT.numerator > F.lag("size").over(by_size) * _LIMIT.denominator
@@ -419,7 +419,7 @@ def similar(docs: DataFrame) -> DataFrame:
         kept = one.unionByName(many_blocks.select("token", (low * F.col("blocks") + high).alias("block"), F.when(F.col("own_block") > F.col("other"), 1).otherwise(0).alias("side"), "node", "size", "pos"))
         kept = kept.withColumn("place", F.pmod(F.xxhash64("token", "block"), F.lit(many)))
         kept = kept if open_places is None else kept.join(open_places, "place", "left_semi")
-        return cut(kept.join(parts.select("node", "part", "sketch"), "node").groupBy("place").applyInArrow(_candidates(most), "a long, b long, d long").distinct())
+        return cut(kept.join(parts.select("node", "part", "sketch"), "node").groupBy("place").applyInArrow(lean(_candidates(most)), "a long, b long, d long").distinct())
 
     heads = places.groupBy("token").agg(F.min("node").alias("head"))
     met = places.join(heads, "token").select(F.col("head").alias("a"), F.col("node").alias("b")).filter("a < b").distinct()

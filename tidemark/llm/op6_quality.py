@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, ship, table
 
 #: Bound of the labelled sample; least precision and cover of a rule; conditions in a rule; rules.
 FIT_ROWS, PRECISION, COVER, CONDITIONS, RULES = 20_000, 0.97, 8, 4, 16
@@ -103,7 +103,7 @@ def statistics(docs: DataFrame, *keep: str) -> DataFrame:
     ship(docs.sparkSession)
     keep = [c for c in keep if c != "text"]
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{s} long" for s in STATS])
-    return docs.select(*keep, "text").mapInArrow(_measure, schema)
+    return docs.select(*keep, "text").mapInArrow(lean(_measure), schema)
 
 
 def base_failed() -> Column:
@@ -236,7 +236,7 @@ def filter_documents(docs: DataFrame, rules: list[list[tuple]]) -> DataFrame:
     """The documents that stay, all columns; the text passes by its statistics, nothing is joined."""
     ship(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", _stats struct<{', '.join(s + ': bigint' for s in STATS)}>"
-    wide = docs.mapInArrow(_measure_beside, schema)
+    wide = docs.mapInArrow(lean(_measure_beside), schema)
     inner = wide.select(F.struct(*docs.columns).alias("_row"), "_stats.*")
     return inner.filter(~base_failed() & verdict(rules)).select("_row.*")
 

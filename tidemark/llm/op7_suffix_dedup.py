@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, shuffle_partitions, table
+from .common import lean, ship, shuffle_partitions, table
 from .rindex import RunIndex
 
 WINDOW, GRAM = 50, 20
@@ -430,11 +430,11 @@ def deduplicate(docs: DataFrame, *keep: str, window: int = WINDOW, gram: int = G
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     kept = T.StructType([*(docs.schema[c] for c in keep), T.StructField("removed", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
     by_slice = rows.groupBy("_slice")
-    said = by_slice.applyInArrow(_tell(buckets, window, gram), _ASK).groupBy("bucket").applyInArrow(_answer, _ASK)
-    sent = by_slice.cogroup(said.groupBy("slice")).applyInArrow(_send(buckets, window, gram), _ASK)
-    found = sent.groupBy("bucket").applyInArrow(_match(window, gram), _ASK)
+    said = by_slice.applyInArrow(lean(_tell(buckets, window, gram)), _ASK).groupBy("bucket").applyInArrow(lean(_answer), _ASK)
+    sent = by_slice.cogroup(said.groupBy("slice")).applyInArrow(lean(_send(buckets, window, gram)), _ASK)
+    found = sent.groupBy("bucket").applyInArrow(lean(_match(window, gram)), _ASK)
     all_said = said.unionByName(found)
-    return by_slice.cogroup(all_said.groupBy("slice")).applyInArrow(_finish(buckets, window, gram, keep, whole_chars), kept)
+    return by_slice.cogroup(all_said.groupBy("slice")).applyInArrow(lean(_finish(buckets, window, gram, keep, whole_chars)), kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
