@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
-#: Seconds between two returns of a worker's unused memory.
-GIVE_BACK = 1.0
+#: Seconds between two returns of a worker's unused memory; partitions, a core, that a small table is cut in at most.
+GIVE_BACK, FILES = 1.0, 4
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -65,9 +65,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: materialise df in the shared checkpoint folder."""
+def cut(df: DataFrame, small: bool = False) -> DataFrame:
+    """Cut lineage: materialise df in the shared checkpoint folder.
+
+    small: rows of few bytes, in FILES partitions a core at most.  Every partition, an empty one too, is a file, for
+    whose mode Hadoop starts a process from the executor on local folders.
+    """
     checkpoint_dir(df.sparkSession)
+    df = df.coalesce(FILES * max(1, df.sparkSession.sparkContext.defaultParallelism)) if small else df
     return df.checkpoint(eager=True)
 
 

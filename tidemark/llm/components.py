@@ -62,7 +62,7 @@ def stars(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     links is met as one row per task.  Lineage is cut every round.  Raises if most_rounds do not settle.
     """
     ship(edges.sparkSession)
-    links = cut(edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    links = cut(edges.filter("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), small=True)
     tasks = max(1, -(-links.count() // LINKS))
     now = cut(links.coalesce(tasks).mapInArrow(lean(_joined), "a long, b long"))
     if tasks == 1:

@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, k, fp, root, component_id): root names the component, component_id is the smallest
     doc_id reachable over links of `radius` bits."""
     rows = cut(fingerprints(docs))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), small=True)
     joined = stars(links(nodes.select("fp"), radius))
     named = nodes.join(joined.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", "low", F.coalesce("b", "fp").alias("root"))
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))

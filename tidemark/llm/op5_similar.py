@@ -345,7 +345,7 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def close_pairs(nodes: DataFrame) -> DataFrame:
     """(a, b) of nodes, a < b, that SimHash links: of a spanning forest of the closest fingerprints, and one node of
     each fingerprint with its others.  nodes: (node, fp)."""
-    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")))
+    prints = cut(nodes.groupBy("fp").agg(F.min("node").alias("head")), small=True)
     near = links(prints.select("fp"), REACH, closest)
     for n in "ab":
         near = near.join(prints.select(F.col("fp").alias(n), F.col("head").alias(f"head_{n}")), n)
